@@ -18,8 +18,8 @@ from .common import buffers, chunks
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Text bytes that are cut into pieces at a time, and pieces that a worker remembers.
-PIECE_BYTES = 2 << 20
-REMEMBER = 600_000
+PIECE_BYTES = 1 << 20
+REMEMBER = 300_000
 #: Bytes from which a pre-token is merged by itself, with a heap.
 LONG = 2048
 

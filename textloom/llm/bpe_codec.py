@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZERS, VOCABULARY, ArrayMerger, Pieces, gather, load_ranks, pretokens
-from .common import buffers, col, mounted, shared_dir
+from .common import batched, buffers, col, mounted, shared_dir
 
 #: Words that the lexicon holds, at most: the most frequent ones of the whole corpus. Others are merged exactly.
-LEXICON = 1 << 18
+LEXICON = 1 << 17
 #: Occurrences from which a word may enter the lexicon.
 FREQUENT = 3
 
@@ -33,7 +33,7 @@ class Lexicon:
         """Words are added in sorted order; a state whose suffixes are complete is replaced by an equal one that exists already."""
         texts = sorted((w.encode(), w) for w in set(words))
         words = [w for w, _ in texts]
-        nexts: list[dict[int, int]] = [{}]
+        nexts: list[dict[int, int] | None] = [{}]
         final = [False]
         register: dict[tuple, int] = {}
         path, last = [0], b""
@@ -45,6 +45,7 @@ class Lexicon:
                 same = register.setdefault(mark, state)
                 if same != state:
                     nexts[path[-1]][last[len(path) - 1]] = same
+                    nexts[state] = None
 
         for word in words:
             common = 0
@@ -220,7 +221,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON,
         out()
         yield from full
 
-    counted = docs.select(col(text_col)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = batched(docs).select(col(text_col)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").toLocalIterator()]
 
 
@@ -280,7 +281,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     ids are carried; an empty table gives no rows. Other columns play no part. Texts of any length are encoded whole.
     """
     run = _coder(lexicon_for(docs, text_col, path), path)
-    return docs.select(col(id_col).alias("doc_id"), run(col(text_col)).alias("v")).select("doc_id", "v.token_ids", "v.n_tokens", "v.round_trip")
+    return batched(docs).select(col(id_col).alias("doc_id"), run(col(text_col)).alias("v")).select("doc_id", "v.token_ids", "v.n_tokens", "v.round_trip")
 
 
 def decode(rows: DataFrame, ids_col: str = "token_ids", out_col: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:

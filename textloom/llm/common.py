@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 #: Text bytes that are turned into arrays at a time; bounds a worker's memory.
 CHUNK_BYTES = 1 << 20
+#: Rows and bytes of a batch that goes to a Python worker, at most; session settings that `batched` lowers to this.
+BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
 _LOCAL: list[str] = []
 
@@ -88,6 +90,16 @@ def stable(df: DataFrame) -> DataFrame:
     return df
 
 
+def batched(df: DataFrame) -> DataFrame:
+    """df, after its session's Arrow batches have been kept small enough for several workers to a machine."""
+    conf = df.sparkSession.conf
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    conf.set(size, str(BATCH_BYTES))
+    return df
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -128,12 +140,12 @@ def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
 
 
-def chunks(off: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges of about size bytes; a longer text is a range of its own."""
+def chunks(off: np.ndarray, size: int = CHUNK_BYTES, rows: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Row ranges of about size bytes and at most `rows` rows; a longer text is a range of its own."""
     n, lo = len(off) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + size, "right")) - 1)
-        yield lo, (hi := min(hi, n))
+        yield lo, (hi := min(hi, lo + rows, n))
         lo = hi
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, fresh, mounted, partitions, shared_dir, small, stable, written
+from .common import batched, col, fresh, mounted, partitions, shared_dir, small, stable, written
 
 #: Keys that a bucket holds before it splits.
 BUCKET = 1024
@@ -178,7 +178,7 @@ def equal_groups(numbered: DataFrame, uid: str, id_col: str, text_col: str, key:
     n = partitions(numbered)
     key = F.xxhash64(col(text_col)) if key is None else key
     owner = F.shiftrightunsigned("key", 64 - OWNER_BITS)
-    thin = numbered.where(col(text_col).isNotNull()).select(key.alias("key"), col(uid).alias("uid"))
+    thin = batched(numbered).where(col(text_col).isNotNull()).select(key.alias("key"), col(uid).alias("uid"))
     # signed keys sort their leading bit the wrong way round, but an owner's rows still come together
     chained = thin.repartition(n, owner).sortWithinPartitions("key", "uid").mapInArrow(_build(folder), "key bigint, uid bigint")
     chained = written(chained, "hash-chained")

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, buffers, chunks, col, fold
+from .common import LOWER, batched, buffers, chunks, col, fold
 
 #: Hashed dimensions of the n-gram space.
 DIMS = 4096
+#: Texts whose counts are held at a time.
+ROWS = 256
 #: Labelled rows of each language that the centroids are fitted on, at most; those with the least hash of their id and text.
 TRAIN_ROWS = 256
 #: Centroids of each language.
@@ -107,12 +109,12 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
         df, n = np.zeros(DIMS, np.int64), 0
         for batch in batches:
             off, data = buffers(batch.column(0))
-            for lo, hi in chunks(off):
+            for lo, hi in chunks(off, rows=ROWS):
                 df += (gram_counts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]) > 0).sum(axis=0)
                 n += hi - lo
         yield pa.RecordBatch.from_arrays([pa.array([df]), pa.array([n])], names=["df", "n"])
 
-    each = docs.select(col(text_col)).mapInArrow(run, "df array<bigint>, n bigint")
+    each = batched(docs).select(col(text_col)).mapInArrow(run, "df array<bigint>, n bigint")
     got = each.select("n", F.posexplode("df").alias("dim", "df")).groupBy("dim").agg(F.sum("df").alias("df"), F.sum("n").alias("n")).toPandas()
     df = np.zeros(DIMS)
     df[got["dim"]] = got["df"]
@@ -123,7 +125,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 def _sparse(text: pa.Array) -> pa.Array:
     off, data = buffers(text)
     dims, counts = [], []
-    for lo, hi in chunks(off):
+    for lo, hi in chunks(off, rows=ROWS):
         for row in gram_counts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]):
             dims.append(np.flatnonzero(row).astype(np.int32))
             counts.append(row[dims[-1]].astype(np.int32))
@@ -189,7 +191,7 @@ def _classifier(model: Centroids) -> Callable[[F.Column], F.Column]:
     def run(text: pa.Array) -> pa.Array:
         off, data = buffers(text)
         langs, sims = [], []
-        for lo, hi in chunks(off):
+        for lo, hi in chunks(off, rows=ROWS):
             best, top, ok = model.classify(gram_counts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]))
             langs += [model.languages[b] if k else REJECTED for b, k in zip(best, ok, strict=True)]
             sims.append(top)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buffers, chunks, col, mix, shingles, words
+from .common import U, batched, buffers, chunks, col, mix, shingles, words
 
 #: Words in a shingle.
 SHINGLE = 2
@@ -159,6 +159,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     shares.append(round(share, 4))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(names, pa.string()), pa.array(shares, pa.float64())], names=["doc_id", "license", "containment"])
 
-    ids = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    ids = batched(docs).select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
     return ids.where(F.col("text").isNotNull()).mapInArrow(run, f"doc_id {kind}, license string, containment double")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import batched, col
 
 #: Types by extension of an address, for columns that declare none.
 BY_EXTENSION = {
@@ -329,7 +329,7 @@ def sniff_media(rows: DataFrame, id_col: str, content_col: str, declared: F.Colu
     """
     known = [t for _, _, t, _ in SIGNATURES] + [PLAIN]
     said = F.nullif(F.lower(F.trim(declared)), F.lit(""))
-    shown = rows.select(col(id_col).alias("id"), said.alias("declared"), _sniff(col(content_col).cast("binary")).alias("v")).select("id", "declared", "v.detected", "v.embedded")
+    shown = batched(rows).select(col(id_col).alias("id"), said.alias("declared"), _sniff(col(content_col).cast("binary")).alias("v")).select("id", "declared", "v.detected", "v.embedded")
     sure = ~F.col("detected").isin(UNKNOWN, PLAIN, BINARY) | (F.col("detected").isin(PLAIN, BINARY) & F.col("declared").isin(*known))
     corrected = F.coalesce(sure & (F.col("declared") != F.col("detected")), F.lit(False))
     media = F.when(corrected, F.col("detected")).otherwise(F.coalesce("declared", "detected"))
@@ -352,7 +352,7 @@ def carve(rows: DataFrame, id_col: str, content_col: str) -> DataFrame:
                     datas.append(raw)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.array(row, np.int64))), pa.array(offsets, pa.int64()), pa.array(kinds, pa.string()), pa.array(datas, pa.binary())], names=["id", "offset", "type", "data"])
 
-    thin = rows.select(col(id_col).alias("id"), col(content_col).cast("binary").alias("content")).where("content IS NOT NULL")
+    thin = batched(rows).select(col(id_col).alias("id"), col(content_col).cast("binary").alias("content")).where("content IS NOT NULL")
     return thin.mapInArrow(run, f"id {thin.schema['id'].dataType.simpleString()}, offset bigint, type string, data binary")
 
 

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import buffers, chunks, col
+from .common import batched, buffers, chunks, col
 
 #: Bytes that a candidate consists of, and how many it has at least, a digit and a letter among them.
 LEAST = 16
@@ -287,6 +287,6 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "begin", "finish", "score", "is_secret"],
             )
 
-    ids = docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
+    ids = batched(docs).select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
     kind = ids.schema["doc_id"].dataType.simpleString()
     return ids.where(col("text").isNotNull()).mapInArrow(run, f"doc_id {kind}, begin bigint, finish bigint, score double, is_secret boolean")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, buffers, chunks, col, fresh, mix, partitions, shingles, small, stable, words, written
+from .common import U, batched, buffers, chunks, col, fresh, mix, partitions, shingles, small, stable, words, written
 from .graph import components
 
 #: A signature is SEGMENTS segments of 32 bits.
@@ -129,7 +129,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_groups(numbered: DataFrame, uid: str, id_col: str, text_col: str) -> DataFrame:
     """(uid, id, keep_uid, keep_id) of each row of numbered that isn't the one its group keeps."""
-    signed = numbered.select(col(uid).alias("uid"), col(id_col).alias("id"), simhash(col(text_col)).alias("sig")).where("sig IS NOT NULL")
+    signed = batched(numbered).select(col(uid).alias("uid"), col(id_col).alias("id"), simhash(col(text_col)).alias("sig")).where("sig IS NOT NULL")
     signed = written(signed, "simhash")
     unique = written(signed.groupBy("sig").agg(F.min("uid").alias("uid")), "simhash-unique")
     buckets = unique.select("uid", F.posexplode("sig").alias("pos", "seg")).groupBy("pos", "seg").agg(F.collect_list("uid").alias("uids")).where("size(uids) > 1")

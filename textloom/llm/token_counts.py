@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZERS, VOCABULARY, ArrayMerger, Pieces, load_ranks, pretokens
-from .common import col
+from .common import batched, col
 
 
 class Counter:
@@ -64,4 +64,4 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long; pre-tokens over bpe.LONG bytes are merged one by one, with the same result.
     """
     run = _counter(path)
-    return docs.select(col(id_col).alias("doc_id"), run(col(text_col)).alias("n_tokens"))
+    return batched(docs).select(col(id_col).alias("doc_id"), run(col(text_col)).alias("n_tokens"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, batched, buffers, chunks, col, fold
+from .common import LOWER, batched, buffers, chunks, col, fold, small, written
 
 #: Hashed dimensions of the n-gram space.
 DIMS = 4096
@@ -137,8 +137,8 @@ def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, rows: int = T
     labelled = docs.where(col(lang_col).isNotNull() & (F.trim(col(lang_col)) != "") & (F.length(col(text_col)) > 0))
     thin = labelled.select(col(lang_col).alias("lang"), F.xxhash64(col(text_col)).alias("h"))
     counts = thin.groupBy("lang").agg(F.count("*").alias("n"))
-    share = counts.select("lang", (F.lit(4.0 * rows + 64) / F.col("n")).alias("share"))
-    few = labelled.select(col(lang_col).alias("lang"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("h")).join(F.broadcast(share), "lang").where("pmod(h, 1000003) < share * 1000003")
+    share = small(written(counts.select("lang", (F.lit(4.0 * rows + 64) / F.col("n")).alias("share")), "languages"), 60)
+    few = labelled.select(col(lang_col).alias("lang"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("h")).join(share, "lang").where("pmod(h, 1000003) < share * 1000003")
     ranked = few.selectExpr("lang", "h", "text", "row_number() OVER (PARTITION BY lang ORDER BY pmod(h, 1000003), h, text) AS k").where(F.col("k") <= rows)
     return ranked.select("lang", _sparse("text").alias("v")).select("lang", "v.dims", "v.counts").toPandas()
 

@@ -56,7 +56,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     counts. An empty table gives no rows. All columns are kept under their names; copy_col, if given, is added and numbers
     the copies from 0. A text of any length is one unit.
     """
-    src, key, times, at = fresh(docs, "src", "key", "times", "copy")
+    src, key, times, at, table = fresh(docs, "src", "key", "times", "copy", "cdf")
     # lengths of all texts; the table has a row for each source
     sizes = docs.groupBy(col(source_col).alias("src")).agg(F.coalesce(F.sum(F.length(col(text_col))), F.lit(0)).alias("size"))
     sizes = written(sizes, "mix-sizes")
@@ -65,17 +65,17 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
         share = have.withColumn("w", F.lit(1.0))
     else:
         pairs = sorted(((k, float(v)) for k, v in weights.items() if v > 0), key=lambda x: (x[0] is not None, x[0] or ""))
-        table = docs.sparkSession.createDataFrame(pairs, "k string, w double")
-        share = have.join(F.broadcast(table), F.expr("cast(src AS string) <=> k"), "inner").select("src", "size", "w")
+        wanted = docs.sparkSession.createDataFrame(pairs, "k string, w double")
+        share = have.join(F.broadcast(wanted) if len(pairs) * 64 <= BROADCAST_BYTES else wanted, F.expr("cast(src AS string) <=> k"), "inner").select("src", "size", "w")
     total = have.agg(F.sum("size").alias("total"))
     scaled = share.crossJoin(F.broadcast(share.agg(F.sum("w").alias("all_w")))).crossJoin(F.broadcast(total))
     rates = scaled.select(F.coalesce(F.col("src").cast("string"), F.lit("")).alias("src"), F.col("src").isNull().alias("is_null"), (F.col("w") / F.col("all_w") * F.col("total") * F.lit(float(epochs)) / F.col("size")).alias("rate"))
     cdf = rates.mapInPandas(_tables, "src string, is_null boolean, cdf array<double>")
-    cdf = written(cdf.select(F.struct("src", "is_null").alias(src), "cdf"), "mix-cdf")
+    cdf = written(cdf.select(F.struct("src", "is_null").alias(src), F.col("cdf").alias(table)), "mix-cdf")
     ident = F.concat(F.lit(f"{seed}:"), F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(col(text_col), F.lit(""))))
     rows = docs.withColumn(src, F.struct(F.coalesce(col(source_col).cast("string"), F.lit("")).alias("src"), col(source_col).isNull().alias("is_null"))).withColumn(key, ident)
-    room = cdf.agg(F.sum(F.size("cdf") * 8 + 64)).first()[0] or 0
-    drawn = rows.join(F.broadcast(cdf) if room <= BROADCAST_BYTES else cdf, src).withColumn(times, F.size(F.filter("cdf", lambda c: c <= uniform(F.concat(col(key), F.lit(":n"))))))
+    room = cdf.agg(F.sum(F.size(table) * 8 + 64)).first()[0] or 0
+    drawn = rows.join(F.broadcast(cdf) if room <= BROADCAST_BYTES else cdf, src).withColumn(times, F.size(F.filter(col(table), lambda c: c <= uniform(F.concat(col(key), F.lit(":n"))))))
     copies = drawn.where(col(times) > 0).select(*map(col, docs.columns), col(key), F.explode(F.sequence(F.lit(0), col(times) - 1)).alias(at))
     order = F.md5(F.concat(col(key), F.lit(":"), col(at).cast("string")))
     mixed = copies.withColumn(key, order)

@@ -12,7 +12,7 @@ from textloom.__main__ import config_of, main, parser
 from textloom.errors import ConfigError, EngineError, FileReadError
 from textloom.functions import metrics as M
 from textloom.operators import compare, reports
-from textloom.operators.stats import analyze_table, totals
+from textloom.operators.stats import analyze_table, line_stats, totals
 from textloom.plans import config as C
 from textloom.plans.engine import Engine
 from textloom.schema import FILE_STATS
@@ -164,6 +164,12 @@ def test_counts(spark):
     assert tuple(c) == (2, 3, 5)
 
 
+def test_lines(spark):
+    df = spark.createDataFrame([(1, "a b\r\n# c\n\nd = 1"), (2, ""), (3, None), (4, "x\n")], "id int, t string").withColumn("key", F.lit(0)).withColumn("code", F.lit(0))
+    got = [tuple(r) for r in line_stats(df, "id", "t", "py").orderBy("key", "line").collect()]
+    assert got == [(1, 0, 1, 3, 2), (1, 1, 0, 3, 2), (1, 2, 0, 0, 0), (1, 3, 1, 5, 3), (4, 0, 1, 1, 1)]
+
+
 def test_native_and_machine_counts_agree(spark):
     from textloom.functions.analyzers import count_code
 

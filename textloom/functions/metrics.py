@@ -53,7 +53,7 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(f"{INK}+")).cast("bigint")
 
 
-def _lines(text: Column) -> Column:
+def lines_of(text: Column) -> Column:
     """The lines without their line feeds; nothing for the emptiness after the last one."""
     parts = F.split(text, "\n")
     return F.when((text == "") | (F.right(text, F.lit(1)) == "\n"), F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
@@ -66,14 +66,14 @@ def _quoted(mark: str) -> str:
 def stateless_code_count(text: Column, style: str) -> Column:
     """Code lines of a style in which every line stands for itself."""
     if style == NO_COMMENTS:
-        return F.size(F.filter(_lines(text), lambda line: line.rlike(INK))).cast("bigint")
+        return F.size(F.filter(lines_of(text), lambda line: line.rlike(INK))).cast("bigint")
     if style == "fortran":
-        return F.size(F.filter(_lines(text), lambda line: line.rlike(INK) & ~line.rlike(f"^(?:[Cc*]|{SPACE}*!)"))).cast("bigint")
+        return F.size(F.filter(lines_of(text), lambda line: line.rlike(INK) & ~line.rlike(f"^(?:[Cc*]|{SPACE}*!)"))).cast("bigint")
     marks, any_case = PREFIXES[style]
     # a mark that ends in white space needs something after it: the line's own end is stripped first
     each = "|".join(_quoted(m) + (f"(?={SPACE}*{INK})" if m[-1].isspace() else "") for m in marks)
     comment = f"^{SPACE}*(?:{each})"
-    return F.size(F.filter(_lines(text), lambda line: ~line.rlike(("(?i)" if any_case else "") + comment))).cast("bigint")
+    return F.size(F.filter(lines_of(text), lambda line: ~line.rlike(("(?i)" if any_case else "") + comment))).cast("bigint")
 
 
 @F.arrow_udf(T.LongType())
@@ -88,6 +88,15 @@ def _machine_count(text: pa.Array, ext: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
+@F.arrow_udf(T.ArrayType(T.BooleanType()))
+def code_flags(text: pa.Array, ext: pa.Array) -> pa.Array:
+    """For each line of each text, whether it is code."""
+    out = []
+    for t, e in zip(text.to_pylist(), ext.to_pylist(), strict=True):
+        out.append(None if t is None else [*map(machine_for(e or "").code, split_lines(t))])
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
 def mapped_ext(ext: Column, mapping: dict[str, str] | None) -> Column:
     """An extension, in the case it has, as the mapping has it."""
     if not mapping:

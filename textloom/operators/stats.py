@@ -19,6 +19,19 @@ def analyze_table(df: DataFrame, text_col: str, ext: str | Column = "", words: b
     })
 
 
+def line_stats(df: DataFrame, key_col: str, text_col: str, ext: str | Column = "", newlines: bool = False) -> DataFrame:
+    """(key, line, sloc, chars, words) of every line of a text column; lines count from 0. A null or empty text has none."""
+    ext = F.lit(ext) if isinstance(ext, str) else ext
+    text = F.col("text")
+    base = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), ext.alias("ext"))
+    zipped = F.arrays_zip(M.lines_of(text).alias("body"), M.code_flags(text, F.col("ext")).alias("code"))
+    ended = F.regexp_count(text, F.lit("\n"))
+    each = base.select("key", "ext", ended.alias("ended"), F.posexplode(zipped).alias("line", "row")).select("key", "ext", "line", (F.col("line") < F.col("ended")).alias("ended"), "row.*")
+    # a line is counted as it stands in the text, with its own end
+    whole = F.concat("body", F.when(F.col("ended"), F.lit("\n")).otherwise(F.lit("")))
+    return each.select("key", F.col("line").cast("bigint").alias("line"), F.col("code").cast("bigint").alias("sloc"), M.chars_by_ext(whole, F.col("ext"), newlines).alias("chars"), M.word_count(whole).alias("words"))
+
+
 def file_stats(files: DataFrame, words: bool, sloc: bool, newlines: bool, mapping: dict[str, str] | None = None) -> DataFrame:
     """Rows of schema.FILE_STATS from those of schema.FILES. A binary content has no lines or characters, and null words and sloc."""
     marked = files.where("error IS NULL").withColumn("is_binary", M.is_binary(F.col("content")))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import metrics as M
 from ..functions.analyzers import PREFIXES
 from ..operators import compare, reports
-from ..operators.stats import analyze_table, filter_ext, filter_stats, sort_stats, totals
+from ..operators.stats import analyze_table, filter_ext, filter_stats, line_stats, sort_stats, totals
 from .config import Config, FilterConfig, WalkOptions
 from .engine import Engine
 
@@ -87,6 +87,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("conv_id").agg(F.count("*").alias("turns"), *[F.sum(c).alias(c) for c in ("lines", "chars", "words")])
 
 
+@query("line_stats", f"SELECT doc_id, (k - 1)::BIGINT AS line, regexp_matches(l[k], '{INK}')::BIGINT AS sloc, length(l[k])::BIGINT AS chars, {sql_words('l[k]')} AS words FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '' AND right(text, 1) <> chr(10)))")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").where("text <> '' AND right(text, 1) <> '\n'")
+    return line_stats(docs, "doc_id", "text", "txt").withColumnRenamed("key", "doc_id")
+
+
 @query("words_unicode", f"SELECT doc_id, {sql_words('t')} AS words FROM (SELECT doc_id, replace(text, ' the ', chr(8195) || 'the' || chr(12288)) AS t FROM documents)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     text = F.replace(F.col("text"), F.lit(" the "), F.lit("\u2003the\u3000"))

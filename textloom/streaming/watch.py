@@ -7,6 +7,7 @@ import json
 import os
 import sys
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -79,6 +80,9 @@ def on_change(spark: SparkSession, roots: list[str], interval: float, run: Calla
         if batch.take(1):
             run()
 
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if checkpoint is None and shared:
+        checkpoint = f"{shared.rstrip('/')}/{PROGRAM}/watch-{uuid.uuid4().hex}"
     writer = changes.writeStream.foreachBatch(each).trigger(processingTime=f"{max(1, round(interval * 1000))} milliseconds")
     return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
 

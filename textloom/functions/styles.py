@@ -6,33 +6,33 @@ from __future__ import annotations
 STYLES: dict[str, str] = {
     ext: style
     for style, exts in {
-        "c": "c h cpp cc cxx c++ hpp hh hxx h++ cs java go dart v sv svh zig m mm groovy gradle css scss sass less json jsonc proto thrift sol ld lds",
-        "c_nested": "rs kt kts scala sc",
-        "javascript": "js mjs cjs jsx ts tsx mts cts",
+        "c": "c c++ cc cpp cs css cxx dart go gradle groovy h h++ hh hpp hxx java json jsonc ld lds less m mm proto sass scss sol sv svh thrift v zig",
+        "c_nested": "kt kts rs sc scala",
+        "javascript": "cjs cts js jsx mjs mts ts tsx",
         "swift": "swift",
         "d": "d",
         "php": "php",
-        "python": "py pyw pyi",
-        "ruby": "rb rake gemspec cr",
-        "perl": "pl pm perl",
-        "shell": "sh bash zsh",
-        "hash": "fish yml yaml toml dockerfile makefile mk cmake nim ex exs coffee tcl awk sed tf tfvars r rmd ini conf cfg properties graphql gql nix",
-        "powershell": "ps1 psm1 psd1",
+        "python": "py pyi pyw",
+        "ruby": "cr gemspec rake rb",
+        "perl": "perl pl pm",
+        "shell": "bash sh zsh",
+        "hash": "awk cfg cmake coffee conf dockerfile ex exs fish gql graphql ini makefile mk nim nix properties r rmd sed tcl tf tfvars toml yaml yml",
+        "powershell": "ps1 psd1 psm1",
         "lua": "lua",
-        "html": "html htm xhtml xml xsl xslt xsd svg vue",
+        "html": "htm html svg vue xhtml xml xsd xsl xslt",
         "sql": "sql",
-        "haskell": "hs lhs elm purs",
+        "haskell": "elm hs lhs purs",
         "julia": "jl",
-        "ocaml": "ml mli fs fsi fsx fsscript pas pp dpr dpk sml sig fun",
-        "lisp": "lisp lsp cl el clj cljs cljc edn scm ss rkt",
-        "erlang": "erl hrl tex sty bib ltx",
-        "fortran": "f f90 f95 f03 f08 for ftn",
+        "ocaml": "dpk dpr fs fsi fsscript fsx fun ml mli pas pp sig sml",
+        "lisp": "cl clj cljc cljs edn el lisp lsp rkt scm ss",
+        "erlang": "bib erl hrl ltx sty tex",
+        "fortran": "f f03 f08 f90 f95 for ftn",
         "matlab": "mat mlx oct",
         "batch": "bat cmd",
-        "assembly": "asm nasm masm inc",
+        "assembly": "asm inc masm nasm",
         "gas": "s",
         "vhdl": "vhd vhdl",
-        "basic": "vb vbs bas cls frm",
+        "basic": "bas cls frm vb vbs",
     }.items()
     for ext in exts.split()
 }
@@ -43,11 +43,11 @@ LITERALS: dict[str, str] = {
     ext: kind
     for kind, exts in {
         "rust": "rs",
-        "cpp": "cpp cc cxx c++ hpp hh hxx h++",
+        "cpp": "c++ cc cpp cxx h++ hh hpp hxx",
         "csharp": "cs",
-        "text_block": "java kt kts scala sc groovy gradle dart",
+        "text_block": "dart gradle groovy java kt kts sc scala",
         "backtick": "go",
-        "double_only": "v sv svh",
+        "double_only": "sv svh v",
     }.items()
     for ext in exts.split()
 }

@@ -51,7 +51,7 @@ def test_equal_hashes_are_compared_byte_by_byte(spark):
 
 def test_extendible_index(tmp_path):
     rng = np.random.default_rng(1)
-    index, truth = E.ExtendibleIndex(bucket=8), {}
+    index, truth = E.ExtendibleIndex(12, bucket=8), {}
     owner = 0x5A3 << 52
     for row, key in enumerate((rng.integers(0, 1 << 52, 3000) % (1 << 51) // 7).tolist() + [5] * 50):
         key |= owner
@@ -64,7 +64,7 @@ def test_extendible_index(tmp_path):
     saved = E.SavedIndex(str(tmp_path / "i"))
     assert all(saved.chain(k).tolist() == rows for k, rows in truth.items())
     assert len(saved.chain(owner | 3)) == 0
-    E.ExtendibleIndex().save(str(tmp_path / "none"))
+    E.ExtendibleIndex(4).save(str(tmp_path / "none"))
     assert len(E.SavedIndex(str(tmp_path / "none")).chain(1)) == 0
 
 

@@ -15,8 +15,11 @@ from .common import batched, col, fresh, mounted, partitions, shared_dir, small,
 
 #: Keys that a bucket holds before it splits.
 BUCKET = 1024
-#: Owners are ranges of the key's leading bits.
-OWNER_BITS = 12
+
+
+def owner_bits(partitions: int) -> int:
+    """Leading bits of a key that name its owner: some four owners to a partition, so that owners stay small as clusters and inputs grow."""
+    return max(4, (4 * partitions - 1).bit_length())
 
 
 class Bucket:
@@ -32,15 +35,15 @@ class ExtendibleIndex:
     """Extendible hashing of 64-bit keys of one owner: the bits after the owner's select the directory's slot.
 
     A bucket with more than `bucket` keys splits on its next bit; where its depth is the directory's, the directory
-    doubles first. Equal keys chain their rows. Keys are told apart by at most 64 - OWNER_BITS bits, after which a
-    bucket may grow.
+    doubles first. Equal keys chain their rows. owned: leading bits that all keys of the owner share; keys are told
+    apart by the others, after which a bucket may grow.
     """
 
-    def __init__(self, bucket: int = BUCKET):
-        self.bucket, self.depth, self.directory = bucket, 0, [Bucket(0)]
+    def __init__(self, owned: int, bucket: int = BUCKET):
+        self.owned, self.bucket, self.depth, self.directory = owned, bucket, 0, [Bucket(0)]
 
     def slot(self, key: int, depth: int) -> int:
-        return ((key << OWNER_BITS) & (1 << 64) - 1) >> (64 - depth) if depth else 0
+        return ((key << self.owned) & (1 << 64) - 1) >> (64 - depth) if depth else 0
 
     def insert(self, key: int, row: int) -> None:
         at = self.directory[self.slot(key, self.depth)]
@@ -49,7 +52,7 @@ class ExtendibleIndex:
             chain.append(row)
             return
         at.chains[key] = [row]
-        while len(at.chains) > self.bucket and at.depth < 64 - OWNER_BITS:
+        while len(at.chains) > self.bucket and at.depth < 64 - self.owned:
             if at.depth == self.depth:
                 self.directory = [b for b in self.directory for _ in range(2)]
                 self.depth += 1
@@ -63,7 +66,7 @@ class ExtendibleIndex:
             at = self.directory[self.slot(key, self.depth)]
 
     def save(self, path: str) -> None:
-        """One file: directory depth, slots, then bucket pages of keys and chains. Written aside and renamed, so a repeated task replaces it whole."""
+        """One file: owner's bits, directory depth, slots, then bucket pages of keys and chains. Written aside and renamed, so a repeated task replaces it whole."""
         pages, at = {}, {}
         for b in self.directory:
             at.setdefault(id(b), len(at))
@@ -75,7 +78,7 @@ class ExtendibleIndex:
         n_keys, n_slots = sum(map(len, keys)), len(self.directory)
         ends = np.cumsum(np.concatenate(lens)) if n_keys else np.zeros(0, np.int64)
         firsts = np.split(ends - np.concatenate(lens), np.cumsum([len(k) for k in keys])[:-1]) if n_keys else []
-        head = np.array([self.depth, n_slots, len(pages), n_keys, len(rows)], np.int64)
+        head = np.array([self.owned, self.depth, n_slots, len(pages), n_keys, len(rows)], np.int64)
         slots = np.array([at[id(b)] for b in self.directory], np.int64)
         bounds = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int64)
         aside = f"{path}.{uuid.uuid4().hex}"
@@ -96,14 +99,14 @@ class SavedIndex:
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.int64, "r")
-        self.depth, slots, buckets, keys, rows = (int(x) for x in raw[:5])
-        ends = np.cumsum([5, slots, buckets + 1, keys, keys, keys, rows])
+        self.owned, self.depth, slots, buckets, keys, rows = (int(x) for x in raw[:6])
+        ends = np.cumsum([6, slots, buckets + 1, keys, keys, keys, rows])
         self.slots, self.bounds, k, self.first, self.count, self.rows = (raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
         self.keys = k.view(np.uint64)
 
     def chain(self, key: int) -> np.ndarray:
         """The rows with this key, in the order of insertion."""
-        b = int(self.slots[((key << OWNER_BITS) & (1 << 64) - 1) >> (64 - self.depth) if self.depth else 0])
+        b = int(self.slots[((key << self.owned) & (1 << 64) - 1) >> (64 - self.depth) if self.depth else 0])
         lo, hi = int(self.bounds[b]), int(self.bounds[b + 1])
         at = lo + int(np.searchsorted(self.keys[lo:hi], np.uint64(key)))
         if at == hi or int(self.keys[at]) != key:
@@ -111,11 +114,11 @@ class SavedIndex:
         return self.rows[int(self.first[at]) : int(self.first[at]) + int(self.count[at])]
 
 
-def _build(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _build(folder: str, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Index files of this task's owners; out come the rows of chains of two or more."""
         os.makedirs(folder, exist_ok=True)
-        owner, index, out = None, ExtendibleIndex(), []
+        owner, index = None, ExtendibleIndex(bits)
 
         def close() -> pa.RecordBatch:
             index.save(f"{folder}/{owner:04x}")
@@ -126,10 +129,10 @@ def _build(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for batch in batches:
             keys = batch.column(0).to_numpy().view(np.uint64)
             for key, row in zip(keys.tolist(), batch.column(1).to_pylist(), strict=True):
-                if (o := key >> (64 - OWNER_BITS)) != owner:
+                if (o := key >> (64 - bits)) != owner:
                     if owner is not None:
                         yield close()
-                    owner, index = o, ExtendibleIndex()
+                    owner, index = o, ExtendibleIndex(bits)
                 index.insert(key, row)
         if owner is not None:
             yield close()
@@ -137,7 +140,7 @@ def _build(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _compare(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _compare(folder: str, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row's uid with that of the first row of its chain that has the same bytes."""
         owner, index, key, heads, seen = None, None, None, [], 0
@@ -154,7 +157,7 @@ def _compare(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 if k != key:
                     check()
                     key, heads, seen = k, [], 0
-                    if (o := k >> (64 - OWNER_BITS)) != owner:
+                    if (o := k >> (64 - bits)) != owner:
                         owner, index = o, SavedIndex(f"{folder}/{o:04x}")
                 seen += 1
                 data = texts[i].as_buffer().to_pybytes()
@@ -177,14 +180,15 @@ def equal_groups(numbered: DataFrame, uid: str, id_col: str, text_col: str, key:
     folder = mounted(shared_dir(spark, "hash-index"))
     n = partitions(numbered)
     key = F.xxhash64(col(text_col)) if key is None else key
-    owner = F.shiftrightunsigned("key", 64 - OWNER_BITS)
+    bits = owner_bits(n)
+    owner = F.shiftrightunsigned("key", 64 - bits)
     thin = batched(numbered).where(col(text_col).isNotNull()).select(key.alias("key"), col(uid).alias("uid"))
     # signed keys sort their leading bit the wrong way round, but an owner's rows still come together
-    chained = thin.repartition(n, owner).sortWithinPartitions("key", "uid").mapInArrow(_build(folder), "key bigint, uid bigint")
+    chained = thin.repartition(n, owner).sortWithinPartitions("key", "uid").mapInArrow(_build(folder, bits), "key bigint, uid bigint")
     chained = written(chained, "hash-chained")
     texts = numbered.select(col(uid).alias("uid"), col(id_col).alias("id"), col(text_col).alias("text"))
     texts = texts.join(small(chained, 60), "uid").select("key", "uid", "id", F.col("text").cast("binary").alias("text"))
-    same = texts.select("key", "uid", "text").repartition(n, owner).sortWithinPartitions("key", "uid").mapInArrow(_compare(folder), "uid bigint, keep_uid bigint")
+    same = texts.select("key", "uid", "text").repartition(n, owner).sortWithinPartitions("key", "uid").mapInArrow(_compare(folder, bits), "uid bigint, keep_uid bigint")
     same = written(same, "hash-same")
     ids = numbered.select(col(uid).alias("uid"), col(id_col).alias("id")).join(small(chained.select("uid"), 60), "uid", "left_semi")
     every = same.union(same.select("keep_uid", "keep_uid").distinct())

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import TOKENIZERS, VOCABULARY, ArrayMerger, Pieces, gather, load_ranks, pretokens
-from .common import batched, buffers, col, mounted, shared_dir
+from .common import batched, buffers, col, mounted, shared_dir, written
 
 #: Words that the lexicon holds, at most: the most frequent ones of the whole corpus. Others are merged exactly.
 LEXICON = 1 << 17
@@ -197,7 +197,7 @@ class Decoder:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON, least: int = FREQUENT) -> list[str]:
-    """The most frequent words of all texts: at least `least` occurrences, at most `most` words, ties by the word."""
+    """The most frequent words of all texts: at least `least` occurrences, at most `most` words. Words that are about as frequent as each other are all in or all out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: list[str] = []
@@ -221,8 +221,17 @@ def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON,
         out()
         yield from full
 
-    counted = batched(docs).select(col(text_col)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return [r.word for r in counted.orderBy(F.desc("n"), "word").limit(most).select("word").toLocalIterator()]
+    counted = written(batched(docs).select(col(text_col)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "words")
+    # from the top, as many of sixteen bins to a doubling as hold no more words than are wanted: no sort, no large task
+    step = F.floor(F.log2("n") * 16)
+    sizes = {r.step: r.words for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}
+    low, room = None, most
+    for s in sorted(sizes, reverse=True):
+        room -= sizes[s]
+        if room < 0:
+            break
+        low = s
+    return [] if low is None else [r.word for r in counted.where(step >= low).select("word").toLocalIterator()]
 
 
 def lexicon_for(docs: DataFrame, text_col: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> str:

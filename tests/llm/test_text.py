@@ -279,6 +279,22 @@ def test_data_addresses():
     assert kind == "text/html" and inside == [(page.index(b"iVBOR"), len(png()), "image/png", "base64")]
 
 
+def test_html_in_every_spelling(spark):
+    far = b" " * 5000 + b"<!-- " + b"x" * 5000 + b" --><HTML lang=en>"
+    pages = [
+        b'<!DOCTYPE HTML PUBLIC "-//W3C//DTD HTML 4.01//EN" "http://www.w3.org/TR/html4/strict.dtd">\n<HTML>', b"<HTML><BODY>a", b"<!doctype html><title>a</title>b", b"\xef\xbb\xbf<!DOCTYPE html><html>", b"\r\n <html>",
+        b"<!-- a > b --><!DOCTYPE html>", b'<?xml version="1.0"?>\n<!DocType\nHtml>\n<html xmlns="x">', b"<!DOCTYPE html>" + b" " * 5000 + b"<html>", far, "\ufeff<!DOCTYPE html><html>".encode("utf-16-le"), b"<!--><html>",
+    ]
+    assert [media.sniff(p)[0] for p in pages] == ["text/html"] * len(pages)
+    others = [b"say <html>", b"<htmlx>", b"<!DOCTYPE htmlx>", b'<?xml version="1.0"?><svg><html></svg>', b"<!-- <html>", b"<?xml <html"]
+    assert [media.sniff(p)[0] for p in others] == ["text/plain"] * len(others)
+    # as before, objects inside a page are listed
+    assert media.sniff(b"\n<HTML>" + png())[1] == [(7, len(png()), "image/png", "raw")]
+    df = spark.createDataFrame([(1, pages[0]), (2, b"<p>a part</p>"), (3, png())], "id int, content binary")
+    got = media.sniff_media(df, "id", "content", F.lit("text/html")).orderBy("id").collect()
+    assert [(r.corrected, r.media_type) for r in got] == [(False, "text/html"), (False, "text/html"), (True, "image/png")]
+
+
 def test_media_columns(spark):
     rows = [(1, png(), "IMAGE/jpeg "), (2, png(), None), (3, b"plain words", "image/png"), (4, None, "image/png"), (5, b"", "image/png"), (6, b"\0\1", "application/x-own"), (None, JPEG, "image/jpeg"), (7, b"plain", " "), (8, b"\0a" + GIF, "image/gif")]
     df = spark.createDataFrame(rows, "id int, content binary, declared string").withColumn("v", F.lit(1)).withColumn("detected", F.lit("x"))

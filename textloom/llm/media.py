@@ -23,7 +23,7 @@ BY_EXTENSION = {
     "html": "text/html", "htm": "text/html", "xhtml": "text/html", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "webp": "image/webp",
     "wav": "audio/wav", "flac": "audio/flac", "mp3": "audio/mpeg", "ogg": "audio/ogg", "mp4": "video/mp4", "avi": "video/avi", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "txt": "text/plain", "svg": "image/svg+xml",
 }
-UNKNOWN, PLAIN, BINARY = "", "text/plain", "application/octet-stream"
+UNKNOWN, PLAIN, BINARY, HTML = "", "text/plain", "application/octet-stream", "text/html"
 
 
 def _png(b: bytes, at: int) -> int:
@@ -216,9 +216,31 @@ def _gzip(b: bytes, at: int) -> int:
     return len(rest) - len(inflate.unused_data) if inflate.eof else 0
 
 
-def _html(b: bytes, at: int) -> int:
-    """Only at the start, and with a root element."""
-    return len(b) if not b[:at].strip(b"\xef\xbb\xbf \t\r\n") and re.search(rb"<html[\s>]", b[at : at + 4096], re.I) else 0
+_MARKS = ((b"\xef\xbb\xbf", ""), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+_SPACES = re.compile(rb"[ \t\r\n\f]*")
+_COMMENT_END = re.compile(rb"--!?>")
+_ROOT = re.compile(rb"<!doctype\s*html[\s>]|<html[\s>/]", re.I)
+
+
+def _html(b: bytes) -> int:
+    """A doctype or a root element of HTML in any case, after at most a byte order mark, white space, comments and processing instructions of any length."""
+    i, data = 0, b
+    for mark, coding in _MARKS:
+        if b.startswith(mark):
+            i, data = (len(mark), b) if not coding else (0, b[len(mark) :].decode(coding, "replace").encode())
+            break
+    while True:
+        i = _SPACES.match(data, i).end()
+        if data.startswith(b"<!--", i):
+            end = _COMMENT_END.search(data, i + 2)
+            i = end.end() if end else len(data)
+        elif data.startswith(b"<?", i):
+            # an XML declaration ends with ?>, other instructions end at the first >, as HTML reads them
+            end = data.find(b"?>", i) + 1 if data[i : i + 5].lower() == b"<?xml" else 0
+            end = end or data.find(b">", i)
+            i = end + 1 if end >= 0 else len(data)
+        else:
+            return len(b) if _ROOT.match(data, i) else 0
 
 
 #: Magic bytes, how far into the file they are, the type, and the validator: the length of the valid object at a place, or 0.
@@ -237,12 +259,9 @@ SIGNATURES: tuple[tuple[bytes, int, str, Callable[[bytes, int], int]], ...] = (
     (b"%PDF-", 0, "application/pdf", _pdf),
     (b"PK\x03\x04", 0, "application/zip", _zip),
     (b"\x1f\x8b\x08", 0, "application/gzip", _gzip),
-    (b"<!DOCTYPE html", 0, "text/html", _html),
-    (b"<!doctype html", 0, "text/html", _html),
-    (b"<html", 0, "text/html", _html),
 )
 #: Types without a length of their own aren't carved from inside.
-WHOLE_ONLY = ("text/html", "audio/flac")
+WHOLE_ONLY = ("audio/flac",)
 _DATA_URI = re.compile(rb"data:([a-zA-Z0-9.+-]+/[a-zA-Z0-9.+-]+)(?:;[a-zA-Z0-9=.-]+)*;base64,([A-Za-z0-9+/]+={0,2})")
 
 
@@ -261,6 +280,9 @@ def objects(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every valid object, outermost first: what lies inside an accepted one is part of it."""
     hits = sorted((end + 1 - len(SIGNATURES[k][0]) - SIGNATURES[k][1], k) for end, k in _AUTOMATON.iter(data.decode("latin-1")))
     out, reached = [], 0
+    # HTML has no magic bytes at a fixed place; it is the whole or nothing, and what lies inside it counts too
+    if size := _html(data):
+        out.append((0, size, HTML))
     for at, k in hits:
         _, _, kind, check = SIGNATURES[k]
         if at < reached or at < 0 or (at and kind in WHOLE_ONLY):
@@ -268,8 +290,7 @@ def objects(data: bytes) -> list[tuple[int, int, str]]:
         size = check(data, at)
         if size:
             out.append((at, size, kind))
-            if kind != "text/html":
-                reached = at + size
+            reached = at + size
     return out
 
 
@@ -281,8 +302,8 @@ def sniff(data: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
     if not data:
         return UNKNOWN, []
     found = objects(data)
-    kind = next((t for at, _, t in found if at == 0 or t == "text/html"), None)
-    inside = [(at, size, t, "raw") for at, size, t in found if at and t != "text/html"]
+    kind = next((t for at, _, t in found if at == 0), None)
+    inside = [(at, size, t, "raw") for at, size, t in found if at]
     for m in _DATA_URI.finditer(data) if b";base64," in data else ():
         raw = m[2][: len(m[2]) // 4 * 4]
         try:
@@ -321,16 +342,17 @@ def sniff_media(rows: DataFrame, id_col: str, content_col: str, declared: F.Colu
 
     detected is the type that the structure confirms; corrected says that it differs from a declared one, in which case
     it is the media_type too; octets that no format claims, and plain text, don't overrule a declaration of a type that
-    isn't known here. embedded lists objects inside: offset and length of raw ones, and for those in base64 data
+    isn't known here; nor does plain text overrule text/html, which a part of a page may be. embedded lists objects inside: offset and length of raw ones, and for those in base64 data
     addresses the offset of the base64 text and the length of the decoded object. A null content has null detected and
     embedded and keeps its declaration; an empty one is detected as '' and has none. A null or blank declaration counts
     as none. Null ids are carried; repeated rows give equal rows; an empty table gives none. Contents of any length are
     searched whole. Other columns play no part.
     """
-    known = [t for _, _, t, _ in SIGNATURES] + [PLAIN]
+    known = [t for _, _, t, _ in SIGNATURES] + [HTML, PLAIN]
     said = F.nullif(F.lower(F.trim(declared)), F.lit(""))
     shown = batched(rows).select(col(id_col).alias("id"), said.alias("declared"), _sniff(col(content_col).cast("binary")).alias("v")).select("id", "declared", "v.detected", "v.embedded")
-    sure = ~F.col("detected").isin(UNKNOWN, PLAIN, BINARY) | (F.col("detected").isin(PLAIN, BINARY) & F.col("declared").isin(*known))
+    fragment = (F.col("detected") == PLAIN) & (F.col("declared") == HTML)
+    sure = ~F.col("detected").isin(UNKNOWN, PLAIN, BINARY) | (F.col("detected").isin(PLAIN, BINARY) & F.col("declared").isin(*known) & ~fragment)
     corrected = F.coalesce(sure & (F.col("declared") != F.col("detected")), F.lit(False))
     media = F.when(corrected, F.col("detected")).otherwise(F.coalesce("declared", "detected"))
     return shown.select("id", "declared", "detected", corrected.alias("corrected"), media.alias("media_type"), "embedded")

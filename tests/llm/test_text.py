@@ -89,6 +89,21 @@ def test_licenses_in_passages(spark):
     assert got[0][2] == 1.0 and license_scan.CONTAINED <= got[1][2] < 1
 
 
+def test_adjacent_licenses():
+    """Every pair of templates, with up to 8 words between them."""
+    library, texts, wanted = license_scan.Library(), [], []
+    for a, one in license_scan.TEMPLATES:
+        for b, two in license_scan.TEMPLATES:
+            for n in (0, 3, 8):
+                texts.append(" ".join([one, *(f"word{i}" for i in range(n)), two]))
+                wanted.append(sorted({a, b}))
+    off, data = buffers(pa.array(texts))
+    got = [[] for _ in texts]
+    for row, name, _ in library.scan(data, off):
+        got[row].append(name)
+    assert [(t, g, w) for t, g, w in zip(texts, got, wanted) if g != w] == []
+
+
 def test_licenses_of_odd_rows(spark, table, odd_rows):
     df = table([*odd_rows, (None, "Released under the MIT License.", None, None, None), (11, "Released under the MIT License.", None, None, None), (11, "Released under the MIT License.", None, None, None)])
     assert sorted((tuple(r) for r in license_scan.scan_licenses(df).collect()), key=str) == [(11, "MIT", 1.0), (11, "MIT", 1.0), (None, "MIT", 1.0)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,7 +72,20 @@ class Template:
     license: str
     number: int
     shingles: np.ndarray
-    distinct: np.ndarray
+    once: np.ndarray
+
+
+@dataclass
+class Passage:
+    """span: the passage with its room; share: containment in it; fit: share of the template's shingles met in order; places: of those, in the text."""
+
+    row: int
+    template: Template
+    begin: int
+    span: slice
+    share: float
+    fit: float
+    places: list[int]
 
 
 class Library:
@@ -88,7 +102,7 @@ class Library:
             if len(runs) < WINDOWS[0]:
                 raise ValueError(f"a template needs {WINDOWS[0]} shingles: {text}")
             size = max(w for w in WINDOWS if w <= len(runs))
-            self.templates.append(Template(name, number, runs, np.unique(runs)))
+            self.templates.append(Template(name, number, runs, np.unique(runs, return_index=True)[1]))
             for _, band in window_bands(runs, [size]):
                 found.setdefault(size, []).extend((k, number, at) for at, k in enumerate(band.tolist()))
         for size, rows in found.items():
@@ -106,31 +120,49 @@ class Library:
         runs, first = shingles(h, first, SHINGLE)
         # so that every shingle begins a window; what reaches beyond a text is not counted below
         padded = np.concatenate((runs, np.zeros(WINDOWS[-1], U)))
-        met: set[tuple[int, int, int]] = set()
+        met: Counter[tuple[int, int, int]] = Counter()
         for size, band in window_bands(padded, sorted(self.bands)) if len(runs) else ():
             keys, numbers, places = self.bands[size]
             maybe = np.flatnonzero(self.may[size][(band[: len(runs)] >> U(48)).astype(np.int64)])
             lo, hi = np.searchsorted(keys, band[maybe], "left"), np.searchsorted(keys, band[maybe], "right")
             for i, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                met.update((int(numbers[k]), i - int(places[k]), i) for k in range(a, b))
-        held = []
-        for number, begin, seen in met:
+                row = int(np.searchsorted(first, i, "right")) - 1
+                met.update((row, int(numbers[k]), i - int(places[k])) for k in range(a, b))
+        held: list[Passage] = []
+        near: dict[tuple[int, int, int], list[Passage]] = {}
+        # the place that most windows agree on comes first; others near it meet the same passage
+        for (row, number, begin), _ in sorted(met.items(), key=lambda x: (-x[1], x[0])):
             t = self.templates[number]
-            row = int(np.searchsorted(first, seen, "right")) - 1
             # the passage where the template would lie, with room for words put in
             room = max(2, len(t.shingles) // 4)
             a, b = max(int(first[row]), begin - room), min(int(first[row + 1]), begin + len(t.shingles) + room)
-            share = float(np.isin(t.distinct, runs[a:b]).mean()) if b > a else 0.0
-            if share >= CONTAINED:
-                held.append((row, -share, -len(t.shingles), t.license, begin, begin + len(t.shingles)))
-        # of licences with much the same text, the best one has the passage
-        taken: dict[int, list[tuple[str, int, int, float]]] = {}
-        for row, share, _, name, a, b in sorted(held):
-            if all(name == other or min(b, d) - max(a, c) <= 0 for other, c, d, _ in taken.setdefault(row, [])):
-                taken[row].append((name, a, b, -share))
-        for row in sorted(taken):
-            for name in sorted({x[0] for x in taken[row]}):
-                yield row, name, max(x[3] for x in taken[row] if x[0] == name)
+            equal = runs[a:b, None] == t.shingles
+            share = float(equal.any(axis=0)[t.once].mean()) if b > a else 0.0
+            if share < CONTAINED:
+                continue
+            slot = begin // (room + 1)
+            same = next((p for k in (slot, slot - 1, slot + 1) for p in near.get((row, number, k), ()) if abs(p.begin - begin) <= room), None)
+            if same:
+                same.share = max(same.share, share)
+                continue
+            # each shingle of the template takes its equal that lies nearest to where it would be
+            far = np.where(equal, np.abs(np.arange(a - begin, b - begin)[:, None] - np.arange(len(t.shingles))), room + 1)
+            at = far.argmin(axis=0)[there := far.min(axis=0) <= room]
+            held.append(found := Passage(row, t, begin, slice(a, b), share, float(there.mean()), np.unique(a + at).tolist()))
+            near.setdefault((row, number, slot), []).append(found)
+        # of licences with much the same text, the one that fits a passage best has its shingles
+        owner: dict[int, str] = {}
+        best: dict[tuple[int, str], float] = {}
+        for p in sorted(held, key=lambda p: (p.row, -p.fit, -len(p.template.shingles), p.template.license, p.begin)):
+            name, t = p.template.license, p.template
+            lost = [owner.get(at, name) != name for at in range(p.span.start, p.span.stop)]
+            if any(lost) and 2 * (runs[p.span, None][~np.array(lost)] == t.shingles).any(axis=0)[t.once].mean() < p.share:
+                continue
+            for at in p.places:
+                owner.setdefault(at, name)
+            best[p.row, name] = max(best.get((p.row, name), 0.0), p.share)
+        for row, name in sorted(best):
+            yield row, name, best[row, name]
 
 
 _LIBRARY: list[Library] = []
@@ -141,9 +173,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Every window of every text is hashed. A passage counts where it holds at least CONTAINED of the distinct two-word
     shingles of a template, ignoring case, punctuation and line breaks; containment is the best template's share. A
-    document with several licences has several rows; one with none, a null or an empty text has none. A null id is
-    carried. Repeated rows give repeated rows. An empty table gives no rows. Other columns play no part; texts are read
-    whole, however long.
+    document with several licences has several rows, however close their notices stand; of licences that match the same
+    words, the one that fits them best counts. One with none, a null or an empty text has none. A null id is carried.
+    Repeated rows give repeated rows. An empty table gives no rows. Other columns play no part; texts are read whole,
+    however long.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

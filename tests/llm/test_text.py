@@ -142,6 +142,21 @@ def test_candidates():
     assert got == [(1, "x" * 20 + "1"), (3, "0123456789abcdef0123"), (3, "hunter2x"), (4, texts[4])]
 
 
+def test_long_candidates_are_scored_whole(spark, network):
+    key = "AKIA" + "Q7ZK2M9XW4T8R3B6"
+    url = "auth=basic&next=/" + "home/pages/" * 9 + f"&key={key}&page=1" + "/about/us" * 9
+    off, data = buffers(pa.array([url, "see " + "p/" * 500 + "1"]))
+    a, b = secret_scan.candidates(data, off)
+    assert any(key in bytes(data[x:y]).decode() and y - x < secret_scan.INSIDE for x, y in zip(a, b))
+    x, y, of = secret_scan.pieces(a, b)
+    for k, (lo, hi) in enumerate(zip(a, b)):
+        assert set().union(*(range(p, q) for p, q in zip(x[of == k], y[of == k]))) == set(range(lo, hi))
+    secret = 'api_key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"'
+    df = spark.createDataFrame([(1, "/home/pages" * 9 + "1"), (2, url), (3, secret)], "doc_id int, text string")
+    got = secret_scan.scan_secrets(df, network=network[0]).collect()
+    assert {r.doc_id for r in got if r.is_secret} == {2, 3} and (2, 5) in {(r.doc_id, r.begin) for r in got if r.is_secret}
+
+
 def test_every_run_is_a_candidate(spark):
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     off, data = buffers(pa.array(texts))

@@ -19,6 +19,8 @@ LEAST_NAMED = 6
 #: The network's window: bytes before the candidate, of it (its two ends, if it is longer), and after it.
 BEFORE, INSIDE, AFTER = 32, 64, 16
 WIDTH = BEFORE + INSIDE + AFTER
+#: Bytes from one window over a long candidate to the next.
+STEP = INSIDE // 2
 EMBED, FILTERS, KERNEL = 12, 32, 5
 #: Labelled findings that the network is fitted on: generated from FITTED_SEED, split into training, calibration and test.
 FINDINGS, FITTED_SEED, EPOCHS, BATCH = 6000, 20240501, 12, 64
@@ -73,11 +75,15 @@ def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
         if e - b >= LEAST_NAMED:
             named.add((b, e))
     if named:
-        # a run that a named value touches is part of that candidate
+        # a run that a named value touches is part of that candidate, unless the network's window doesn't hold the whole of it
         own = np.array(sorted(named), np.int64)
         before = np.searchsorted(own[:, 0], ends, "left")
         reach = np.concatenate(([0], np.maximum.accumulate(own[:, 1])))
-        free = reach[before] <= starts
+        short = own[own[:, 1] - own[:, 0] <= INSIDE]
+        near = np.searchsorted(short[:, 0], ends, "left")
+        held = np.concatenate(([0], np.maximum.accumulate(short[:, 1])))[near] > starts
+        same = np.isin(starts, own[:, 0]) & np.fromiter(((a, b) in named for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), bool, len(starts))
+        free = (reach[before] <= starts) | ~(held | same)
         starts, ends = np.concatenate((starts[free], own[:, 0])), np.concatenate((ends[free], own[:, 1]))
         order = np.lexsort((ends, starts))
         starts, ends = starts[order], ends[order]
@@ -85,7 +91,7 @@ def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def encode(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Byte classes of each candidate's window; a candidate longer than INSIDE shows its first and last halves."""
+    """Byte classes of each candidate's window; a candidate longer than INSIDE shows its first and last halves. Scans show long ones whole, by `pieces`."""
     rows = np.searchsorted(off, starts, "right") - 1
     lo, hi = off[rows][:, None], off[rows + 1][:, None]
     k = np.arange(INSIDE)[None]
@@ -99,6 +105,15 @@ def encode(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarr
     return out
 
 
+def pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of windows of INSIDE bytes, half of that apart and one at the end, over each candidate longer than that, and the candidate of each."""
+    more = -(-np.maximum(ends - starts - INSIDE, 0) // STEP)
+    of = np.repeat(np.arange(len(starts)), more + 1)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(more + 1) - (more + 1), more + 1)
+    b = np.minimum(starts[of] + k * STEP + INSIDE, ends[of])
+    return np.where(more[of] > 0, b - INSIDE, starts[of]), b, of
+
+
 @dataclass
 class Network:
     """Embedding, one convolution with rectifiers, maxima over the three parts of the window, a linear unit; then Platt's scale and the threshold."""
@@ -132,6 +147,17 @@ class Network:
         return 1 / (1 + np.exp(-(a * self.logits(codes) + b)))
 
 
+def scored(net: Network, data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Each candidate's score: of a long one the greatest of its windows and of its two ends together."""
+    out = net.scores(encode(data, off, starts, ends))
+    long = np.flatnonzero(ends - starts > INSIDE)
+    a, b, of = pieces(starts[long], ends[long])
+    for lo in range(0, len(a), 4096):
+        part = slice(lo, lo + 4096)
+        np.maximum.at(out, long[of[part]], net.scores(encode(data, off, a[part], b[part])))
+    return out
+
+
 def _word(rng: np.random.Generator) -> str:
     parts = ("th", "er", "on", "an", "re", "in", "en", "at", "es", "or", "le", "de", "la", "ment", "qui", "ein", "ung", "ció", "que", "str", "ou", "ai", "ch", "ver", "do")
     return "".join(rng.choice(parts, rng.integers(1, 5)))
@@ -263,7 +289,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that are assigned to a telling name. is_secret says whether the calibrated score reaches the threshold at which RECALL
     of the calibration set is found. Null and empty texts have no candidates. Null ids are carried; repeated rows give
     repeated rows; an empty table gives none. Other columns play no part. Texts are scanned whole, and each candidate is
-    found however long it is; of one over INSIDE bytes the network sees both ends.
+    found however long it is; one over INSIDE bytes has the greatest score of the network's windows over the whole of it,
+    and the runs in a named value of that length are candidates of their own too.
     """
     net = network or train()[0]
 
@@ -278,7 +305,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 rows.append(lo + row)
                 begins.append(a - o[row])
                 finishes.append(b - o[row])
-                scores.append(net.scores(encode(d, o, a, b)) if len(a) else np.zeros(0))
+                scores.append(scored(net, d, o, a, b) if len(a) else np.zeros(0))
             if not rows:
                 continue
             row, score = np.concatenate(rows), np.concatenate(scores)

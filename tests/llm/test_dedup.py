@@ -155,3 +155,22 @@ def test_input_that_isnt_stable_is_written(spark):
     df = spark.createDataFrame([(i, f"text {i % 5} of some words") for i in range(40)], "doc_id bigint, text string").repartition(7).sample(0.99, seed=1)
     assert E.drop_exact_duplicates(df).count() == 5
     assert S.drop_near_duplicates(df).count() == 5
+
+
+def test_splits_that_change_between_reads(spark, tmp_path, monkeypatch):
+    """Each written table is followed by reads with other splits, as when executors come or go."""
+    texts = [" ".join(f"w{(i % 30) * 40 + k}" for k in range(40)) for i in range(64)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8).write.parquet(str(tmp_path / "docs"))
+    name, turn = "spark.sql.files.minPartitionNum", iter(range(100))
+    for module in (E, S):
+        real = module.written
+        monkeypatch.setattr(module, "written", lambda df, what, real=real: (real(df, what), spark.conf.set(name, str((1, 8)[next(turn) % 2])))[0])
+    try:
+        docs = spark.read.parquet(str(tmp_path / "docs"))
+        for drop, find in ((E.drop_exact_duplicates, E.exact_duplicates), (S.drop_near_duplicates, S.near_duplicates)):
+            spark.conf.set(name, "8")
+            assert sorted(r.doc_id for r in drop(docs).collect()) == list(range(30))
+            spark.conf.set(name, "8")
+            assert sorted(r.doc_id for r in find(docs).collect()) == list(range(30, 64))
+    finally:
+        spark.conf.unset(name)

@@ -74,20 +74,9 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
-_STABLE = ("Scan", "LocalTableScan", "ExistingRDD", "Project", "Filter", "ColumnarToRow", "WholeStageCodegen", "InputAdapter", "AdaptiveSparkPlan", "ResultQueryStage", "Union", "Range", "FileScan", "RDDScan", "OneRowRelation", "CommandResult")
-
-
-def stable(df: DataFrame) -> DataFrame:
-    """df if its rows come in the same order and partitions each time it is read (a scan with projections and filters); else a written copy. Row numbers need that."""
-    plan = df._jdf.queryExecution().sparkPlan()
-    todo = [plan]
-    while todo:
-        node = todo.pop()
-        if not node.nodeName().startswith(_STABLE):
-            return written(df, "stable")
-        kids = node.children()
-        todo += [kids.apply(i) for i in range(kids.length())]
-    return df
+def numbered(df: DataFrame, uid: str) -> DataFrame:
+    """df with a row number as column uid, written, so that every later read has the same numbers: a scan's splits, and with them its row numbers, follow the cores that are there when it is read."""
+    return written(df.withColumn(uid, F.monotonically_increasing_id()), "numbered")
 
 
 def batched(df: DataFrame) -> DataFrame:

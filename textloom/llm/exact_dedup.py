@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batched, col, fresh, mounted, partitions, shared_dir, small, stable, written
+from .common import batched, col, fresh, mounted, numbered, partitions, shared_dir, small, written
 
 #: Keys that a bucket holds before it splits.
 BUCKET = 1024
@@ -174,23 +174,23 @@ def _compare(folder: str, bits: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     return run
 
 
-def equal_groups(numbered: DataFrame, uid: str, id_col: str, text_col: str, key: F.Column | None = None) -> DataFrame:
-    """(uid, keep_uid, id, keep_id) of each row whose text's bytes an earlier row has, in the order of id (nulls last) and uid."""
-    spark = numbered.sparkSession
+def equal_groups(rows: DataFrame, uid: str, id_col: str, text_col: str, key: F.Column | None = None) -> DataFrame:
+    """(uid, keep_uid, id, keep_id) of each row whose text's bytes an earlier row has, in the order of id (nulls last) and uid. rows is read several times, so its uids must be stored."""
+    spark = rows.sparkSession
     folder = mounted(shared_dir(spark, "hash-index"))
-    n = partitions(numbered)
+    n = partitions(rows)
     key = F.xxhash64(col(text_col)) if key is None else key
     bits = owner_bits(n)
     owner = F.shiftrightunsigned("key", 64 - bits)
-    thin = batched(numbered).where(col(text_col).isNotNull()).select(key.alias("key"), col(uid).alias("uid"))
+    thin = batched(rows).where(col(text_col).isNotNull()).select(key.alias("key"), col(uid).alias("uid"))
     # signed keys sort their leading bit the wrong way round, but an owner's rows still come together
     chained = thin.repartition(n, owner).sortWithinPartitions("key", "uid").mapInArrow(_build(folder, bits), "key bigint, uid bigint")
     chained = written(chained, "hash-chained")
-    texts = numbered.select(col(uid).alias("uid"), col(id_col).alias("id"), col(text_col).alias("text"))
+    texts = rows.select(col(uid).alias("uid"), col(id_col).alias("id"), col(text_col).alias("text"))
     texts = texts.join(small(chained, 60), "uid").select("key", "uid", "id", F.col("text").cast("binary").alias("text"))
     same = texts.select("key", "uid", "text").repartition(n, owner).sortWithinPartitions("key", "uid").mapInArrow(_compare(folder, bits), "uid bigint, keep_uid bigint")
     same = written(same, "hash-same")
-    ids = numbered.select(col(uid).alias("uid"), col(id_col).alias("id")).join(small(chained.select("uid"), 60), "uid", "left_semi")
+    ids = rows.select(col(uid).alias("uid"), col(id_col).alias("id")).join(small(chained.select("uid"), 60), "uid", "left_semi")
     every = same.union(same.select("keep_uid", "keep_uid").distinct())
     named = every.join(ids, "uid")
     keep = named.groupBy("keep_uid").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("keep"))
@@ -207,19 +207,17 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     here. Null ids are carried as null. An empty table has no duplicates. Other columns, whatever their names, play no
     part; long texts are compared whole.
     """
-    docs = stable(docs)
     (uid,) = fresh(docs, "uid")
-    found = equal_groups(docs.withColumn(uid, F.monotonically_increasing_id()), uid, id_col, text_col)
+    found = equal_groups(numbered(docs.select(*map(col, dict.fromkeys((id_col, text_col)))), uid), uid, id_col, text_col)
     return found.select(F.col("id").alias("doc_id"), "keep_id")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all its columns, but for those that exact_duplicates lists."""
-    docs = stable(docs)
     (uid,) = fresh(docs, "uid")
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
-    lost = written(equal_groups(numbered, uid, id_col, text_col).select(F.col("uid").alias(uid)), "hash-lost")
-    return numbered.join(small(lost, 40), uid, "left_anti").select(*map(col, docs.columns))
+    rows = numbered(docs, uid)
+    lost = written(equal_groups(rows, uid, id_col, text_col).select(F.col("uid").alias(uid)), "hash-lost")
+    return rows.join(small(lost, 40), uid, "left_anti").select(*map(col, docs.columns))
 
 
 EXACT_DEDUP_SQL = """

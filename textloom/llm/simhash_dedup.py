@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, batched, buffers, chunks, col, fresh, mix, partitions, shingles, small, stable, words, written
+from .common import U, batched, buffers, chunks, col, fresh, mix, numbered, partitions, shingles, small, words, written
 from .graph import components
 
 #: A signature is SEGMENTS segments of 32 bits.
@@ -127,14 +127,14 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(*held)
 
 
-def near_groups(numbered: DataFrame, uid: str, id_col: str, text_col: str) -> DataFrame:
-    """(uid, id, keep_uid, keep_id) of each row of numbered that isn't the one its group keeps."""
-    signed = batched(numbered).select(col(uid).alias("uid"), col(id_col).alias("id"), simhash(col(text_col)).alias("sig")).where("sig IS NOT NULL")
+def near_groups(rows: DataFrame, uid: str, id_col: str, text_col: str) -> DataFrame:
+    """(uid, id, keep_uid, keep_id) of each row of rows that isn't the one its group keeps."""
+    signed = batched(rows).select(col(uid).alias("uid"), col(id_col).alias("id"), simhash(col(text_col)).alias("sig")).where("sig IS NOT NULL")
     signed = written(signed, "simhash")
     unique = written(signed.groupBy("sig").agg(F.min("uid").alias("uid")), "simhash-unique")
     buckets = unique.select("uid", F.posexplode("sig").alias("pos", "seg")).groupBy("pos", "seg").agg(F.collect_list("uid").alias("uids")).where("size(uids) > 1")
     members = buckets.select("pos", "seg", F.explode("uids").alias("uid"))
-    n = partitions(numbered)
+    n = partitions(rows)
     pairs = members.join(unique, "uid").select("pos", "seg", "uid", "sig").repartition(n, "pos", "seg").sortWithinPartitions("pos", "seg", "uid").mapInArrow(_edges, "a bigint, b bigint")
     rooted = components(pairs, "simhash-edges")
     rooted = rooted.withColumnRenamed("node", "uid")
@@ -156,16 +156,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near-duplicates of each other, each with a row of its own here. Null ids are carried as null. An empty table has no
     near-duplicates. Other columns, whatever their names, play no part; very long texts are read whole.
     """
-    docs = stable(docs)
     (uid,) = fresh(docs, "uid")
+    # the rows are read once, for the signatures that are written
     found = near_groups(docs.withColumn(uid, F.monotonically_increasing_id()), uid, id_col, text_col)
     return found.select(F.col("id").alias("doc_id"), "keep_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all its columns, but for those that near_duplicates lists; one row of each group stays."""
-    docs = stable(docs)
     (uid,) = fresh(docs, "uid")
-    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
-    lost = written(near_groups(numbered, uid, id_col, text_col).select(F.col("uid").alias(uid)), "simhash-lost")
-    return numbered.join(small(lost, 40), uid, "left_anti").select(*map(col, docs.columns))
+    rows = numbered(docs, uid)
+    lost = written(near_groups(rows, uid, id_col, text_col).select(F.col("uid").alias(uid)), "simhash-lost")
+    return rows.join(small(lost, 40), uid, "left_anti").select(*map(col, docs.columns))

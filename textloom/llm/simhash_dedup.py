@@ -129,8 +129,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_groups(rows: DataFrame, uid: str, id_col: str, text_col: str) -> DataFrame:
     """(uid, id, keep_uid, keep_id) of each row of rows that isn't the one its group keeps."""
-    signed = batched(rows).select(col(uid).alias("uid"), col(id_col).alias("id"), simhash(col(text_col)).alias("sig")).where("sig IS NOT NULL")
-    signed = written(signed, "simhash")
+    signed = batched(rows).select(col(uid).alias("uid"), col(id_col).alias("id"), simhash(col(text_col)).alias("sig"))
+    # written before the filter, which else would have the signatures computed a second time, for itself
+    signed = written(signed, "simhash").where("sig IS NOT NULL")
     unique = written(signed.groupBy("sig").agg(F.min("uid").alias("uid")), "simhash-unique")
     buckets = unique.select("uid", F.posexplode("sig").alias("pos", "seg")).groupBy("pos", "seg").agg(F.collect_list("uid").alias("uids")).where("size(uids) > 1")
     members = buckets.select("pos", "seg", F.explode("uids").alias("uid"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import exact_dedup as E
 from textloom.llm import simhash_dedup as S
+from textloom.llm.common import buffers, mix, shingles, words
 from textloom.llm.graph import components
 
 SF = "/root/testdata/sf0.01"
@@ -109,21 +110,64 @@ def test_candidates_meet_nine_tenths_of_near_pairs(brute):
     budget = np.arange(1, S.CHAIN + 1) * S.MAX_BITS / S.SEGMENTS
     met = 0
     for a, b in near:
-        d = np.bitwise_count(sig[a] ^ sig[b])
-        met += any(d[i] == 0 and (np.cumsum(np.roll(d, -i)[: S.CHAIN]) <= budget).all() for i in range(S.SEGMENTS))
-    assert met >= 0.9 * len(near)
+        d = np.bitwise_count(sig[a] ^ sig[b]).astype(int)
+        met += any(not d[i : i + S.AGREE].any() and (np.cumsum(np.roll(d, -i)[: S.CHAIN]) <= budget).all() for i in range(0, S.SEGMENTS, S.AGREE))
+    assert met >= 0.98 * len(near) and len(near) > 150
+
+
+def plain_signature(text):
+    """Every occurrence of every three words votes for every bit, one at a time."""
+    off, data = buffers(pa.array([text]))
+    hashes, _, _, first = words(data, off)
+    runs, _ = shingles(hashes, first, S.SHINGLE)
+    out = []
+    for j in range(S.SEGMENTS):
+        sums = [0.0] * S.BITS
+        for r in runs.tolist():
+            v = ((r ^ int(S._SEED[j])) * int(S._MUL[j])) & (1 << 64) - 1
+            vote = int(mix(np.array([v], np.uint64))[0])
+            for bit in range(S.BITS):
+                sums[bit] += (1 if vote >> bit & 1 else -1) / (v + 1.0) ** 4
+        out.append(sum(1 << bit for bit in range(S.BITS) if sums[bit] > 0))
+    return out
+
+
+def test_every_feature_votes(brute):
+    rows, sig, _ = brute
+    pick = [i for i in range(0, len(rows), 53) if len(rows[i][1]) < 3000] + [i for i, (_, t) in enumerate(rows) if len(t.split()) < 6][:5]
+    for i in pick:
+        assert sig[i].tolist() == plain_signature(rows[i][1])
 
 
 def test_forest_spans_the_pairs_of_a_bucket():
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 1 << 32, (6, S.SEGMENTS), dtype=np.uint32)
+    base = rng.integers(0, 1 << 16, (6, S.SEGMENTS)).astype(np.uint16)
     rows = np.repeat(base, 5, axis=0)
-    rows[:, 0] = 7
-    rows[::2, 5] ^= np.uint32(0b1011)
+    rows[:, :2] = 7
+    rows[::2, 9] ^= np.uint16(0b1011)
     edges = S.forest(rows, 0)
     assert len(edges) == 24 and all(a // 5 == b // 5 for a, b in edges)
 
 
+def test_crowded_buckets_are_compared_whole(spark):
+    """In a crowd that is cut into groups, each two rows share a block."""
+    df = spark.range(90).selectExpr("id AS uid", "array_repeat(int(5), 16) AS sig").union(spark.createDataFrame([(100, [*range(16)]), (101, [0, *range(20, 35)]), (102, [*range(50, 66)])], "uid bigint, sig array<int>"))
+    blocks = {}
+    for r in S.candidates(df, crowd=8).collect():
+        blocks.setdefault((r.pos, r.seg, r.block), set()).add(r.uid)
+    assert max(map(len, blocks.values())) < 45 and len({k[2] for k in blocks}) > 60
+    pairs = {(a, b) for k, v in blocks.items() if k[0] == 3 for a in v for b in v if a < b}
+    assert pairs == {(a, b) for a in range(90) for b in range(a + 1, 90)}
+    assert [v for k, v in blocks.items() if k[1] == 0] == [{100, 101}] and not any(102 in v for v in blocks.values())
+
+
+def test_crowds_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = pairs(S.near_duplicates(docs))
+    monkeypatch.setattr(S, "CROWD", 2)
+    assert pairs(S.near_duplicates(docs)) == whole and len(whole) > 10
+
+
 def test_near_of_edited_copies(spark):
     """Copies with a changed word in twenty are caught; documents of their own, and those that share a passage, are left."""
     rng = np.random.default_rng(3)

@@ -18,7 +18,7 @@ from .common import LOWER, batched, buffers, chunks, col, fold, small, written
 DIMS = 4096
 #: Texts whose counts are held at a time.
 ROWS = 256
-#: Labelled rows of each language that the centroids are fitted on, at most; those with the least hash of their id and text.
+#: Different labelled texts of each language that the centroids are fitted on, at most; those with the least hashes.
 TRAIN_ROWS = 256
 #: Centroids of each language.
 CLUSTERS = 4
@@ -133,14 +133,18 @@ def _sparse(text: pa.Array) -> pa.Array:
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, rows: int = TRAIN_ROWS) -> pd.DataFrame:
-    """(lang, dims, counts) of at most `rows` labelled texts of each language, those with the least hashes."""
+    """(lang, dims, counts) of at most `rows` different labelled texts of each language, those with the least hashes.
+
+    Copies of a text count once, so a language that has any text has a row here, however many copies there are of
+    whichever. Ranks are taken within each task before rows are exchanged; what is chosen is bounded by the languages.
+    """
     labelled = docs.where(col(lang_col).isNotNull() & (F.trim(col(lang_col)) != "") & (F.length(col(text_col)) > 0))
-    thin = labelled.select(col(lang_col).alias("lang"), F.xxhash64(col(text_col)).alias("h"))
-    counts = thin.groupBy("lang").agg(F.count("*").alias("n"))
-    share = small(written(counts.select("lang", (F.lit(4.0 * rows + 64) / F.col("n")).alias("share")), "languages"), 60)
-    few = labelled.select(col(lang_col).alias("lang"), col(text_col).alias("text"), F.xxhash64(col(text_col)).alias("h")).join(share, "lang").where("pmod(h, 1000003) < share * 1000003")
-    ranked = few.selectExpr("lang", "h", "text", "row_number() OVER (PARTITION BY lang ORDER BY pmod(h, 1000003), h, text) AS k").where(F.col("k") <= rows)
-    return ranked.select("lang", _sparse("text").alias("v")).select("lang", "v.dims", "v.counts").toPandas()
+    hashed = labelled.select(col(lang_col).alias("lang"), F.xxhash64(col(text_col)).alias("h"))
+    ranked = hashed.selectExpr("lang", "h", "dense_rank() OVER (PARTITION BY lang ORDER BY h) AS k").where(F.col("k") <= rows)
+    chosen = small(written(ranked.select("lang", "h").distinct(), "languages"), 60)
+    texts = labelled.select(col(lang_col).alias("lang"), F.xxhash64(col(text_col)).alias("h"), col(text_col).alias("text"))
+    once = texts.join(chosen, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return once.select("lang", _sparse("text").alias("v")).select("lang", "v.dims", "v.counts").toPandas()
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, clusters: int = CLUSTERS) -> Centroids:
@@ -205,18 +209,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, predicted, similarity) of every row; predicted is 'und' where the nearest centroid is too far.
 
     Vectors are normalised log-TF-IDF counts of hashed byte 2-grams and 3-grams; document frequencies are those of the
-    whole table, centroids come from at most TRAIN_ROWS labelled rows of each language. Null and empty texts, and texts
+    whole table, centroids come from at most TRAIN_ROWS different labelled texts of each language. Null and empty texts, and texts
     without n-grams, are rejected with similarity 0. Texts are read whole. Ties go to the language that sorts first.
     Repeated rows give equal rows; null ids are carried; rows with a null or blank lang are classified but not learnt
     from. An empty table gives no rows; a table without labels rejects all. Other columns play no part.
     """
     model = model or fit(docs, text_col, lang_col)
     run = _classifier(model)
-    return docs.select(col(id_col).alias("doc_id"), run(col(text_col)).alias("v")).select("doc_id", F.col("v.lang").alias("predicted"), F.col("v.similarity").alias("similarity"))
+    return batched(docs).select(col(id_col).alias("doc_id"), run(col(text_col)).alias("v")).select("doc_id", F.col("v.lang").alias("predicted"), F.col("v.similarity").alias("similarity"))
 
 
 def keep_identified(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", model: Centroids | None = None) -> DataFrame:
-    """The rows of docs, with all its columns, but for those that identify rejects."""
+    """The rows of docs, with all its columns and their names, but for those that identify rejects.
+
+    Null and empty texts, and texts without n-grams, go. Repeated rows stay or go together; null ids, labels and other
+    columns are carried as they are, and none of them decides but lang, which is only learnt from. Long texts are read
+    whole. An empty table gives none; of a table without labels nothing stays.
+    """
     model = model or fit(docs, text_col, lang_col)
     run = _classifier(model)
-    return docs.where(run(col(text_col))["lang"] != REJECTED)
+    return batched(docs).where(run(col(text_col))["lang"] != REJECTED)

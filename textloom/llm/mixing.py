@@ -75,7 +75,9 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, epo
     ident = F.concat(F.lit(f"{seed}:"), F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(col(text_col), F.lit(""))))
     rows = docs.withColumn(src, F.struct(F.coalesce(col(source_col).cast("string"), F.lit("")).alias("src"), col(source_col).isNull().alias("is_null"))).withColumn(key, ident)
     room = cdf.agg(F.sum(F.size(table) * 8 + 64)).first()[0] or 0
-    drawn = rows.join(F.broadcast(cdf) if room <= BROADCAST_BYTES else cdf, src).withColumn(times, F.size(F.filter(col(table), lambda c: c <= uniform(F.concat(col(key), F.lit(":n"))))))
+    # the number is bound to a variable of its own, so that it is hashed once a row and not once for each probability
+    drawn_at = F.transform(F.array(uniform(F.concat(col(key), F.lit(":n")))), lambda u: F.size(F.filter(col(table), lambda c: c <= u)))
+    drawn = rows.join(F.broadcast(cdf) if room <= BROADCAST_BYTES else cdf, src).withColumn(times, drawn_at[0])
     copies = drawn.where(col(times) > 0).select(*map(col, docs.columns), col(key), F.explode(F.sequence(F.lit(0), col(times) - 1)).alias(at))
     order = F.md5(F.concat(col(key), F.lit(":"), col(at).cast("string")))
     mixed = copies.withColumn(key, order)
@@ -88,7 +90,7 @@ WITH sizes AS (SELECT source, coalesce(sum(length(text)), 0)::BIGINT AS size FRO
 have AS (SELECT * FROM sizes WHERE size > 0),
 rates AS (SELECT source, (1.0::DOUBLE / (SELECT count(*) FROM have)::DOUBLE) * (SELECT sum(size) FROM have)::DOUBLE * {EPOCHS}::DOUBLE / size AS rate FROM have),
 pmf AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p
-        FROM rates, (SELECT unnest(range(0, 2000)) AS k)),
+        FROM (SELECT source, rate, unnest(range(0, (rate + 20 * sqrt(rate) + 60)::BIGINT)) AS k FROM rates)),
 cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM pmf WHERE k <= rate OR p >= {TAIL}),
 keyed AS (SELECT *, '17:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, '')) AS key FROM documents),
 drawn AS (SELECT *, ('0x' || substr(md5(key || ':n'), 1, {DIGITS}))::BIGINT::DOUBLE / {16**DIGITS}::DOUBLE AS u FROM keyed),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import re
 import struct
 import zlib
@@ -24,24 +23,28 @@ BY_EXTENSION = {
     "wav": "audio/wav", "flac": "audio/flac", "mp3": "audio/mpeg", "ogg": "audio/ogg", "mp4": "video/mp4", "avi": "video/avi", "pdf": "application/pdf", "zip": "application/zip", "gz": "application/gzip", "txt": "text/plain", "svg": "image/svg+xml",
 }
 UNKNOWN, PLAIN, BINARY, HTML = "", "text/plain", "application/octet-stream", "text/html"
+#: Bytes of a compressed stream that are inflated at a time.
+INFLATED = 1 << 16
+#: A validator: of contents, a place and what was learnt about these contents so far, to the length of the valid object there, or 0.
+Check = Callable[[bytes, int, dict], int]
 
 
-def _png(b: bytes, at: int) -> int:
-    """Chunks with right checksums from IHDR to IEND."""
-    i, first = at + 8, True
+def _png(b: bytes, at: int, known: dict) -> int:
+    """Chunks from IHDR to IEND that fill their lengths, with right checksums."""
+    i, parts = at + 8, []
     while i + 12 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, i)
-        if i + 12 + size > len(b) or (first and (kind != b"IHDR" or size != 13)):
+        if i + 12 + size > len(b) or (not parts and (kind != b"IHDR" or size != 13)):
             return 0
-        if zlib.crc32(memoryview(b)[i + 4 : i + 8 + size]) != struct.unpack_from(">I", b, i + 8 + size)[0]:
-            return 0
-        i, first = i + 12 + size, False
+        parts.append((i + 4, i + 8 + size))
+        i += 12 + size
         if kind == b"IEND":
-            return i - at
+            view = memoryview(b)
+            return i - at if all(zlib.crc32(view[x:y]) == struct.unpack_from(">I", b, y)[0] for x, y in parts) else 0
     return 0
 
 
-def _jpeg(b: bytes, at: int) -> int:
+def _jpeg(b: bytes, at: int, known: dict) -> int:
     """Marker segments up to the scan, then entropy-coded data and further segments up to EOI; a frame and a scan are needed."""
     i, frame, scan = at + 2, False, False
     while i + 2 <= len(b):
@@ -75,7 +78,7 @@ def _jpeg(b: bytes, at: int) -> int:
     return 0
 
 
-def _gif(b: bytes, at: int) -> int:
+def _gif(b: bytes, at: int, known: dict) -> int:
     """Blocks after the screen descriptor, up to the trailer."""
     if at + 13 > len(b):
         return 0
@@ -106,7 +109,7 @@ def _gif(b: bytes, at: int) -> int:
     return 0
 
 
-def _bmp(b: bytes, at: int) -> int:
+def _bmp(b: bytes, at: int, known: dict) -> int:
     """The header's sizes agree with each other and with what is there."""
     if at + 30 > len(b):
         return 0
@@ -115,8 +118,8 @@ def _bmp(b: bytes, at: int) -> int:
     return size if good else 0
 
 
-def _riff(form: bytes) -> Callable[[bytes, int], int]:
-    def check(b: bytes, at: int) -> int:
+def _riff(form: bytes) -> Check:
+    def check(b: bytes, at: int, known: dict) -> int:
         """Chunks fill the length in the header."""
         if at + 12 > len(b) or b[at + 8 : at + 12] != form:
             return 0
@@ -132,7 +135,7 @@ def _riff(form: bytes) -> Callable[[bytes, int], int]:
     return check
 
 
-def _flac(b: bytes, at: int) -> int:
+def _flac(b: bytes, at: int, known: dict) -> int:
     """Metadata blocks from STREAMINFO to the last one, then a frame's sync code; the stream has no length, so it runs to the end."""
     i, first = at + 4, True
     while i + 4 <= len(b):
@@ -146,74 +149,93 @@ def _flac(b: bytes, at: int) -> int:
     return 0
 
 
-def _ogg(b: bytes, at: int) -> int:
-    """Pages of one stream, up to the one marked as last."""
-    i = at
-    while i + 27 <= len(b) and b[i : i + 4] == b"OggS" and b[i + 4] == 0:
+def _ogg(b: bytes, at: int, known: dict) -> int:
+    """Pages of one stream, up to the one marked as last. A page from which the end wasn't reached needn't be tried again."""
+    failed = known.setdefault("ogg", set())
+    i, passed = at, []
+    while i not in failed and i + 27 <= len(b) and b[i : i + 4] == b"OggS" and b[i + 4] == 0:
+        passed.append(i)
         n = b[i + 26]
         if i + 27 + n > len(b):
-            return 0
+            break
         flags, i = b[i + 5], i + 27 + n + sum(b[i + 27 : i + 27 + n])
         if i > len(b):
-            return 0
+            break
         if flags & 4:
             return i - at
+    failed.update(passed)
     return 0
 
 
-def _mp4(b: bytes, at: int) -> int:
-    """Boxes from ftyp on, moov among them. The magic bytes are four bytes into the file."""
-    i, seen = at, set()
-    while i + 8 <= len(b):
+_BOXES = (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"udta", b"uuid", b"moof", b"mfra", b"sidx", b"styp", b"meta", b"pdin")
+
+
+def _mp4(b: bytes, at: int, known: dict) -> int:
+    """Boxes from ftyp on, moov among them. The magic bytes are four bytes into the file. Where a run of boxes ends is kept for the places in it."""
+    ended = known.setdefault("mp4", {})
+    i, seen, end = at, {}, None
+    while i not in ended and i + 8 <= len(b):
         size, kind = struct.unpack_from(">I4s", b, i)
         if size == 1 and i + 16 <= len(b):
             size = struct.unpack_from(">Q", b, i + 8)[0]
-        if size < 8 or not kind.isalnum() or kind not in (b"ftyp", b"moov", b"mdat", b"free", b"skip", b"wide", b"udta", b"uuid", b"moof", b"mfra", b"sidx", b"styp", b"meta", b"pdin"):
+        if size < 8 or kind not in _BOXES:
             break
-        if i + size > len(b):
-            return 0
-        seen.add(kind)
+        seen[i] = kind
         i += size
-    return i - at if {b"ftyp", b"moov"} <= seen else 0
+        if i > len(b):
+            end = 0
+            break
+    # where the run of boxes from each of these places ends; 0 if it runs beyond the contents
+    end = ended.get(i, i) if end is None else end
+    ended.update(dict.fromkeys(seen, end))
+    return end - at if end and {b"ftyp", b"moov"} <= set(seen.values()) else 0
 
 
-def _pdf(b: bytes, at: int) -> int:
+def _pdf(b: bytes, at: int, known: dict) -> int:
     """A version, a startxref that points inside, and the last end-of-file mark before another document begins."""
     if not re.match(rb"%PDF-\d\.\d", b[at : at + 8]):
         return 0
     stop = b.find(b"%PDF-", at + 5)
     end = b.rfind(b"%%EOF", at, stop if stop > 0 else len(b))
-    if end < 0:
-        return 0
-    found = re.search(rb"startxref\s+(\d+)\s+$", b[max(at, end - 64) : end])
+    last = b.rfind(b"startxref", at, end) if end > 0 else -1
+    found = _OFFSET.fullmatch(b, last, end) if last >= 0 else None
     return end + 5 - at if found and int(found[1]) < end - at else 0
 
 
-def _zip(b: bytes, at: int) -> int:
-    """The end record's directory lies where it says, seen from this start."""
-    i = b.find(b"PK\x05\x06", at)
-    while i >= 0 and i + 22 <= len(b):
-        n, size, start, note = struct.unpack_from("<10xHIIH", b, i)
-        if n and at + start + size == i and b[at + start : at + start + 4] == b"PK\x01\x02" and i + 22 + note <= len(b):
-            return i + 22 + note - at
-        i = b.find(b"PK\x05\x06", i + 4)
-    return 0
+_OFFSET = re.compile(rb"startxref\s+(\d{1,19})\s+")
+
+
+def _zip(b: bytes, at: int, known: dict) -> int:
+    """An end record whose directory lies where it says, seen from this start; the first such record."""
+    if "zip" not in known:
+        ends: dict[int, int] = {}
+        i = b.find(b"PK\x05\x06")
+        while 0 <= i <= len(b) - 22:
+            n, size, start, note = struct.unpack_from("<10xHIIH", b, i)
+            begin = i - size - start
+            if n and begin >= 0 and b[begin + start : begin + start + 4] == b"PK\x01\x02" and i + 22 + note <= len(b):
+                ends.setdefault(begin, i + 22 + note)
+            i = b.find(b"PK\x05\x06", i + 4)
+        known["zip"] = ends
+    return known["zip"].get(at, at) - at
 
 
-def _gzip(b: bytes, at: int) -> int:
+def _gzip(b: bytes, at: int, known: dict) -> int:
     """The stream inflates to its end with the right checksum and size; the output isn't kept."""
     if at + 18 > len(b) or b[at + 2] != 8 or b[at + 3] & 0xE0:
         return 0
-    inflate, rest = zlib.decompressobj(31), memoryview(b)[at:]
+    inflate, view, i = zlib.decompressobj(31), memoryview(b), at
     try:
-        data = rest
         while not inflate.eof:
-            if not inflate.decompress(data, 1 << 20) and not inflate.unconsumed_tail:
-                break
             data = inflate.unconsumed_tail
+            if not data:
+                if i >= len(b):
+                    return 0
+                data, i = view[i : i + INFLATED], i + INFLATED
+            inflate.decompress(data, 1 << 20)
     except zlib.error:
         return 0
-    return len(rest) - len(inflate.unused_data) if inflate.eof else 0
+    return min(i, len(b)) - len(inflate.unused_data) - at
 
 
 _MARKS = ((b"\xef\xbb\xbf", ""), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
@@ -244,7 +266,7 @@ def _html(b: bytes) -> int:
 
 
 #: Magic bytes, how far into the file they are, the type, and the validator: the length of the valid object at a place, or 0.
-SIGNATURES: tuple[tuple[bytes, int, str, Callable[[bytes, int], int]], ...] = (
+SIGNATURES: tuple[tuple[bytes, int, str, Check], ...] = (
     (b"\x89PNG\r\n\x1a\n", 0, "image/png", _png),
     (b"\xff\xd8\xff", 0, "image/jpeg", _jpeg),
     (b"GIF87a", 0, "image/gif", _gif),
@@ -262,7 +284,14 @@ SIGNATURES: tuple[tuple[bytes, int, str, Callable[[bytes, int], int]], ...] = (
 )
 #: Types without a length of their own aren't carved from inside.
 WHOLE_ONLY = ("audio/flac",)
-_DATA_URI = re.compile(rb"data:([a-zA-Z0-9.+-]+/[a-zA-Z0-9.+-]+)(?:;[a-zA-Z0-9=.-]+)*;base64,([A-Za-z0-9+/]+={0,2})")
+#: The media type and its parameters may be left out; the text's padding may be too, or be escaped.
+_DATA_URI = re.compile(rb"data:(?:[a-zA-Z0-9.+-]+/[a-zA-Z0-9.+-]+)?(?:;[a-zA-Z0-9=.-]+)*?;base64,([A-Za-z0-9+/]+)")
+
+
+def _unpacked(text: bytes) -> bytes:
+    """What base64 without its padding stands for; a last digit that is too much is left out."""
+    text = text[: len(text) - (len(text) % 4 == 1)]
+    return base64.b64decode(text + b"=" * (-len(text) % 4))
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -279,7 +308,7 @@ _AUTOMATON = _automaton()
 def objects(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every valid object, outermost first: what lies inside an accepted one is part of it."""
     hits = sorted((end + 1 - len(SIGNATURES[k][0]) - SIGNATURES[k][1], k) for end, k in _AUTOMATON.iter(data.decode("latin-1")))
-    out, reached = [], 0
+    out, reached, known = [], 0, {}
     # HTML has no magic bytes at a fixed place; it is the whole or nothing, and what lies inside it counts too
     if size := _html(data):
         out.append((0, size, HTML))
@@ -287,7 +316,7 @@ def objects(data: bytes) -> list[tuple[int, int, str]]:
         _, _, kind, check = SIGNATURES[k]
         if at < reached or at < 0 or (at and kind in WHOLE_ONLY):
             continue
-        size = check(data, at)
+        size = check(data, at, known)
         if size:
             out.append((at, size, kind))
             reached = at + size
@@ -305,13 +334,9 @@ def sniff(data: bytes) -> tuple[str, list[tuple[int, int, str, str]]]:
     kind = next((t for at, _, t in found if at == 0), None)
     inside = [(at, size, t, "raw") for at, size, t in found if at]
     for m in _DATA_URI.finditer(data) if b";base64," in data else ():
-        raw = m[2][: len(m[2]) // 4 * 4]
-        try:
-            held = objects(base64.b64decode(raw, validate=True))
-        except binascii.Error:
-            continue
+        held = objects(_unpacked(m[1]))
         if held and held[0][0] == 0:
-            inside.append((m.start(2), held[0][1], held[0][2], "base64"))
+            inside.append((m.start(1), held[0][1], held[0][2], "base64"))
     if kind is None:
         try:
             data.decode()
@@ -342,11 +367,11 @@ def sniff_media(rows: DataFrame, id_col: str, content_col: str, declared: F.Colu
 
     detected is the type that the structure confirms; corrected says that it differs from a declared one, in which case
     it is the media_type too; octets that no format claims, and plain text, don't overrule a declaration of a type that
-    isn't known here; nor does plain text overrule text/html, which a part of a page may be. embedded lists objects inside: offset and length of raw ones, and for those in base64 data
-    addresses the offset of the base64 text and the length of the decoded object. A null content has null detected and
-    embedded and keeps its declaration; an empty one is detected as '' and has none. A null or blank declaration counts
-    as none. Null ids are carried; repeated rows give equal rows; an empty table gives none. Contents of any length are
-    searched whole. Other columns play no part.
+    isn't known here; nor does plain text overrule text/html, which a part of a page may be. embedded lists
+    objects inside: offset and length of raw ones, and for those in base64 data addresses the offset of the base64 text
+    and the length of the decoded object. A null content has null detected and embedded and keeps its declaration; an
+    empty one is detected as '' and has none. A null or blank declaration counts as none. Null ids are carried; repeated
+    rows give equal rows; an empty table gives none. Contents of any length are searched whole. Other columns play no part.
     """
     known = [t for _, _, t, _ in SIGNATURES] + [HTML, PLAIN]
     said = F.nullif(F.lower(F.trim(declared)), F.lit(""))
@@ -359,7 +384,13 @@ def sniff_media(rows: DataFrame, id_col: str, content_col: str, declared: F.Colu
 
 
 def carve(rows: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """(id, offset, type, data) of every object inside the contents; null and empty contents have none."""
+    """(id, offset, type, data) of every object inside the contents, a string or binary column.
+
+    Offsets are those of sniff_media's embedded; data is the object itself, decoded from base64 where it was in a data
+    address. What begins a content is the content and isn't carved. Null and empty contents have none. Null ids are
+    carried; repeated rows give repeated objects; an empty table gives none. Contents of any length are searched whole.
+    Other columns, whatever their names, play no part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,7 +398,7 @@ def carve(rows: DataFrame, id_col: str, content_col: str) -> DataFrame:
             for i, value in enumerate(batch.column(1)):
                 data = value.as_buffer().to_pybytes()
                 for at, size, kind, how in sniff(data)[1]:
-                    raw = data[at : at + size] if how == "raw" else base64.b64decode(data[at : at + (size + 2) // 3 * 4])[:size]
+                    raw = data[at : at + size] if how == "raw" else _unpacked(data[at : at + (size * 4 + 2) // 3])
                     row.append(i)
                     offsets.append(at)
                     kinds.append(kind)

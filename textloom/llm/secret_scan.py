@@ -5,12 +5,13 @@ from __future__ import annotations
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batched, buffers, chunks, col
+from .common import LOWER, batched, buffers, chunks, col
 
 #: Bytes that a candidate consists of, and how many it has at least, a digit and a letter among them.
 LEAST = 16
@@ -24,7 +25,7 @@ STEP = INSIDE // 2
 EMBED, FILTERS, KERNEL = 12, 32, 5
 #: Labelled findings that the network is fitted on: generated from FITTED_SEED, split into training, calibration and test.
 FINDINGS, FITTED_SEED, EPOCHS, BATCH = 6000, 20240501, 12, 64
-#: The threshold is the highest at which this share of the calibration set's secrets is found.
+#: A kind's threshold is the highest at which this share of the calibration set's secrets of that kind is found.
 RECALL = 0.99
 
 _TOKEN = np.zeros(256, bool)
@@ -32,19 +33,54 @@ _TOKEN[[ord(c) for c in string.ascii_letters + string.digits + "+/_-=."]] = True
 _DIGIT, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _DIGIT[48:58] = True
 _LETTER[65:91] = _LETTER[97:123] = True
-NAMES = (b"password", b"passwd", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"access_key", b"private_key", b"credential", b"auth")
+NAMES = (b"password", b"passwd", b"pwd", b"secret", b"token", b"apikey", b"api_key", b"api-key", b"access_key", b"secret_key", b"private_key", b"credential", b"auth")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 32, 34, 39]] = True
+#: Bytes that end a named value: white space and controls, quotes, comma, semicolon.
+_VALUE_END = np.zeros(256, bool)
+_VALUE_END[[*range(33), 34, 39, 44, 59]] = True
+#: Kinds of candidates; each has a threshold of its own.
+BARE, NAMED = 0, 1
+_ENDINGS = tuple(n.decode() for n in NAMES)
 #: Classes of bytes that the network tells apart: 0 is beyond the text, 1 any that isn't printable ASCII.
 _CODE = np.ones(256, np.int64)
 _CODE[32:127] = np.arange(2, 97)
 CODES = 97
 
 
-def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of every candidate: long runs of token bytes, and values assigned to telling names."""
+def _named(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the values assigned to telling names, sorted; of values within each other the outermost."""
+    none = np.zeros(0, np.int64)
+    signs = np.flatnonzero((data == 61) | (data == 58))
+    if not len(signs):
+        return none, none
+    row = np.searchsorted(off, signs, "right") - 1
+    begin, stop = off[row], off[row + 1]
+    # over at most four blanks back to the name's end, and on to the value's start
+    a, b = signs.copy(), signs + 1
+    for _ in range(4):
+        a -= (a > begin) & _SPACE[data[np.maximum(a - 1, 0)]]
+        b += (b < stop) & _SPACE[data[np.minimum(b, len(data) - 1)]]
+    telling = np.zeros(len(signs), bool)
+    for name in NAMES:
+        at = a - len(name)
+        fits = np.flatnonzero((at >= begin) & ~telling)
+        for k, byte in enumerate(name):
+            fits = fits[LOWER[data[at[fits] + k]] == byte]
+        telling[fits] = True
+    b, stop = b[telling], stop[telling]
+    ends = np.flatnonzero(_VALUE_END[data])
+    e = np.minimum(np.append(ends, len(data))[np.searchsorted(ends, b)], stop)
+    b, e = b[e - b >= LEAST_NAMED], e[e - b >= LEAST_NAMED]
+    # values run to the same end if one lies within another, and starts are sorted
+    outer = np.r_[True, e[1:] != e[:-1]] if len(e) else np.zeros(0, bool)
+    return b[outer], e[outer]
+
+
+def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of every candidate, and its kind (BARE: a long run of token bytes; NAMED: a value assigned to a telling name)."""
     if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     edge = np.zeros(len(data) + 1, bool)
     edge[off] = True
     token = _TOKEN[data]
@@ -55,39 +91,22 @@ def candidates(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     digits, letters = np.concatenate(([0], np.cumsum(_DIGIT[data]))), np.concatenate(([0], np.cumsum(_LETTER[data])))
     mixed = (digits[ends] > digits[starts]) & (letters[ends] > letters[starts])
     starts, ends = starts[long & mixed], ends[long & mixed]
-    named: set[tuple[int, int]] = set()
-    signs = np.flatnonzero((data == 61) | (data == 58))
-    rows = np.searchsorted(off, signs, "right") - 1
-    for at, row in zip(signs.tolist(), rows.tolist(), strict=True):
-        begin, stop = int(off[row]), int(off[row + 1])
-        a = at
-        while a > begin and at - a < 4 and _SPACE[data[a - 1]]:
-            a -= 1
-        name = bytes(data[max(begin, a - 12) : a]).lower()
-        if not name.endswith(NAMES):
-            continue
-        b = at + 1
-        while b < stop and b - at < 5 and _SPACE[data[b]]:
-            b += 1
-        e = b
-        while e < stop and data[e] > 32 and data[e] not in (34, 39, 44, 59):
-            e += 1
-        if e - b >= LEAST_NAMED:
-            named.add((b, e))
-    if named:
+    b, e = _named(data, off)
+    kinds = np.full(len(starts), BARE)
+    if len(b):
         # a run that a named value touches is part of that candidate, unless the network's window doesn't hold the whole of it
-        own = np.array(sorted(named), np.int64)
-        before = np.searchsorted(own[:, 0], ends, "left")
-        reach = np.concatenate(([0], np.maximum.accumulate(own[:, 1])))
-        short = own[own[:, 1] - own[:, 0] <= INSIDE]
-        near = np.searchsorted(short[:, 0], ends, "left")
-        held = np.concatenate(([0], np.maximum.accumulate(short[:, 1])))[near] > starts
-        same = np.isin(starts, own[:, 0]) & np.fromiter(((a, b) in named for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), bool, len(starts))
+        before = np.searchsorted(b, ends, "left")
+        reach = np.concatenate(([0], np.maximum.accumulate(e)))
+        short = e - b <= INSIDE
+        near = np.searchsorted(b[short], ends, "left")
+        held = np.concatenate(([0], np.maximum.accumulate(e[short])))[near] > starts if short.any() else np.zeros(len(starts), bool)
+        at = np.minimum(np.searchsorted(b, starts), len(b) - 1)
+        same = (b[at] == starts) & (e[at] == ends)
         free = (reach[before] <= starts) | ~(held | same)
-        starts, ends = np.concatenate((starts[free], own[:, 0])), np.concatenate((ends[free], own[:, 1]))
+        starts, ends, kinds = np.concatenate((starts[free], b)), np.concatenate((ends[free], e)), np.concatenate((kinds[free], np.full(len(b), NAMED)))
         order = np.lexsort((ends, starts))
-        starts, ends = starts[order], ends[order]
-    return starts, ends
+        starts, ends, kinds = starts[order], ends[order], kinds[order]
+    return starts, ends, kinds
 
 
 def encode(data: np.ndarray, off: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -116,7 +135,7 @@ def pieces(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 @dataclass
 class Network:
-    """Embedding, one convolution with rectifiers, maxima over the three parts of the window, a linear unit; then Platt's scale and the threshold."""
+    """Embedding, one convolution with rectifiers, maxima over the three parts of the window, a linear unit; then Platt's scale and each kind's threshold."""
 
     table: np.ndarray
     kernel: np.ndarray
@@ -124,7 +143,7 @@ class Network:
     out: np.ndarray
     shift: float
     scale: tuple[float, float] = (1.0, 0.0)
-    threshold: float = 0.5
+    thresholds: tuple[float, float] = (0.5, 0.5)
 
     PARTS = (slice(0, BEFORE), slice(BEFORE, BEFORE + INSIDE), slice(BEFORE + INSIDE, WIDTH))
 
@@ -171,13 +190,13 @@ def _random(rng: np.random.Generator, alphabet: str, n: int) -> str:
     return "".join(rng.choice(list(alphabet), n))
 
 
-def labelled_findings(n: int = FINDINGS, seed: int = FITTED_SEED) -> tuple[list[str], list[tuple[int, int]], np.ndarray]:
-    """Texts with a candidate each, its span, and whether it is a secret; deterministic."""
+def labelled_findings(n: int = FINDINGS, seed: int = FITTED_SEED) -> tuple[list[str], list[tuple[int, int]], np.ndarray, np.ndarray]:
+    """Texts with a candidate each, its span, whether it is a secret, and its kind; deterministic."""
     rng = np.random.default_rng(seed)
     hexes, alnum = "0123456789abcdef", string.ascii_letters + string.digits
     names = ("token", "api_key", "apikey", "secret", "password", "passwd", "access_key", "auth_token", "client_secret", "SECRET_KEY", "TOKEN", "API_KEY", "private_key")
     plain = ("commit", "sha1", "md5", "checksum", "digest", "etag", "revision", "build", "id", "uuid", "session", "ref", "image", "file", "version", "order")
-    texts, spans, labels = [], [], np.zeros(n, bool)
+    texts, spans, labels, kinds = [], [], np.zeros(n, bool), np.zeros(n, np.int64)
     for i in range(n):
         labels[i] = secret = bool(rng.random() < 0.5)
         quote = str(rng.choice(['"', "'", ""]))
@@ -197,8 +216,9 @@ def labelled_findings(n: int = FINDINGS, seed: int = FITTED_SEED) -> tuple[list[
             else:
                 value = _random(rng, alnum + "!@#%^&*", int(rng.integers(8, 16)))
             value = value.upper() if kind <= 2 and rng.random() < 0.3 else value
-            name = str(rng.choice(names)) if kind != 4 or rng.random() < 0.6 else str(rng.choice(["", "key", "use", "with"]))
+            name = str(rng.choice(names)) if kind not in (4, 6) or rng.random() < 0.5 else str(rng.choice(["", "key", "use", "with"]))
             lead = name + sign + quote if name else " "
+            kinds[i] = NAMED if name.lower().endswith(_ENDINGS) else BARE
         else:
             kind = rng.integers(8)
             if kind <= 1:
@@ -210,7 +230,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = FITTED_SEED) -> tuple[list[
                 value, lead = f"{_word(rng)}.{int(rng.integers(0, 99)):02d}" + _word(rng) + ".example.com" + _word(rng), " "
             elif kind == 4:
                 value = str(rng.choice(["changeme", "your-token-here", "xxxxxxxxxxxxxxxx", "example_password", "<password>", "${API_KEY}", "placeholder123", "none-of-these1", "REDACTED", "********"]))
-                lead = str(rng.choice(names)) + sign + quote
+                lead, kinds[i] = str(rng.choice(names)) + sign + quote, NAMED
             elif kind == 5:
                 value, lead = "/".join(_word(rng) for _ in range(4)) + f"/{int(rng.integers(1, 9999))}.html", str(rng.choice(["see ", "path ", "src=", " "]))
             elif kind == 6:
@@ -223,7 +243,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = FITTED_SEED) -> tuple[list[
         at = len((before + (" " if before else "") + lead).encode())
         texts.append(text)
         spans.append((at, at + len(value.encode())))
-    return texts, spans, labels
+    return texts, spans, labels, kinds
 
 
 def _codes(texts: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
@@ -233,9 +253,10 @@ def _codes(texts: list[str], spans: list[tuple[int, int]]) -> np.ndarray:
     return encode(np.frombuffer(b"".join(raw), np.uint8), off, at[:, 0], at[:, 1])
 
 
+@lru_cache(maxsize=4)
 def train(seed: int = 5, epochs: int = EPOCHS) -> tuple[Network, dict[str, float]]:
-    """The network, fitted by Adam on generated labelled findings, scaled and thresholded on the calibration set; measures on the test set."""
-    texts, spans, labels = labelled_findings()
+    """The network, fitted by Adam on generated labelled findings, scaled and thresholded on the calibration set; measures on the test set. A process fits once for each seed."""
+    texts, spans, labels, kinds = labelled_findings()
     codes = _codes(texts, spans)
     a, b = int(0.7 * len(codes)), int(0.85 * len(codes))
     rng = np.random.default_rng(seed)
@@ -276,44 +297,52 @@ def train(seed: int = 5, epochs: int = EPOCHS) -> tuple[Network, dict[str, float
         p = 1 / (1 + np.exp(-(scale * held + shift)))
         scale, shift = scale - 0.05 * float(((p - y) * held).mean()) / max(1.0, float((held**2).mean())) * 4, shift - 0.5 * float((p - y).mean())
     net.scale = (scale, shift)
-    found = np.sort(net.scores(codes[a:b])[labels[a:b]])
-    net.threshold = float(np.floor(found[int((1 - RECALL) * len(found))] * 1e5) / 1e5)
-    said, truth = net.scores(codes[b:]) >= net.threshold, labels[b:]
-    return net, {"recall": float(said[truth].mean()), "precision": float(truth[said].mean()), "threshold": net.threshold}
+    score = net.scores(codes[a:b])
+    least = []
+    for kind in (BARE, NAMED):
+        found = np.sort(score[labels[a:b] & (kinds[a:b] == kind)])
+        least.append(float(np.floor(found[int((1 - RECALL) * len(found))] * 1e5) / 1e5))
+    net.thresholds = (least[0], least[1])
+    said, truth = net.scores(codes[b:]) >= np.array(least)[kinds[b:]], labels[b:]
+    by_kind = {f"recall_{k}": float(said[truth & (kinds[b:] == i)].mean()) for i, k in enumerate(("bare", "named"))}
+    return net, {"recall": float(said[truth].mean()), "precision": float(truth[said].mean())} | by_kind
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", network: Network | None = None) -> DataFrame:
     """(doc_id, begin, finish, score, is_secret) of every candidate of every document; begin and finish count bytes.
 
     Candidates are runs of at least LEAST token bytes with a digit and a letter, and values of at least LEAST_NAMED bytes
-    that are assigned to a telling name. is_secret says whether the calibrated score reaches the threshold at which RECALL
-    of the calibration set is found. Null and empty texts have no candidates. Null ids are carried; repeated rows give
+    that are assigned to a telling name; where such values lie within each other, the outermost is one. is_secret says
+    whether the calibrated score reaches its kind's threshold, at which RECALL of the calibration set's secrets of that
+    kind are found. Null and empty texts have no candidates. Null ids are carried; repeated rows give
     repeated rows; an empty table gives none. Other columns play no part. Texts are scanned whole, and each candidate is
     found however long it is; one over INSIDE bytes has the greatest score of the network's windows over the whole of it,
     and the runs in a named value of that length are candidates of their own too.
     """
     net = network or train()[0]
+    least = np.array(net.thresholds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             off, data = buffers(batch.column(1))
-            rows, begins, finishes, scores = [], [], [], []
+            rows, begins, finishes, scores, secret = [], [], [], [], []
             for lo, hi in chunks(off):
                 d, o = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
-                a, b = candidates(d, o)
+                a, b, kind = candidates(d, o)
                 row = np.searchsorted(o, a, "right") - 1
                 rows.append(lo + row)
                 begins.append(a - o[row])
                 finishes.append(b - o[row])
                 scores.append(scored(net, d, o, a, b) if len(a) else np.zeros(0))
+                secret.append(scores[-1] >= least[kind])
             if not rows:
                 continue
             row, score = np.concatenate(rows), np.concatenate(scores)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(np.concatenate(begins), pa.int64()), pa.array(np.concatenate(finishes), pa.int64()), pa.array(np.round(score.astype(np.float64), 4)), pa.array(score >= net.threshold)],
+                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(np.concatenate(begins), pa.int64()), pa.array(np.concatenate(finishes), pa.int64()), pa.array(np.round(score.astype(np.float64), 4)), pa.array(np.concatenate(secret))],
                 names=["doc_id", "begin", "finish", "score", "is_secret"],
             )
 
     ids = batched(docs).select(col(id_col).alias("doc_id"), col(text_col).alias("text"))
-    kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.where(col("text").isNotNull()).mapInArrow(run, f"doc_id {kind}, begin bigint, finish bigint, score double, is_secret boolean")
+    of = ids.schema["doc_id"].dataType.simpleString()
+    return ids.where(col("text").isNotNull()).mapInArrow(run, f"doc_id {of}, begin bigint, finish bigint, score double, is_secret boolean")

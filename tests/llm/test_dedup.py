@@ -50,21 +50,26 @@ def test_equal_hashes_are_compared_byte_by_byte(spark):
     assert sorted((r.id, r.keep_id) for r in got.collect()) == [(2, 0), (4, 1), (5, 0)]
 
 
-def test_extendible_index(tmp_path):
+@pytest.mark.parametrize("batch", [1, 700, 5000])
+def test_extendible_index(tmp_path, batch):
     rng = np.random.default_rng(1)
     index, truth = E.ExtendibleIndex(12, bucket=8), {}
     owner = 0x5A3 << 52
-    for row, key in enumerate((rng.integers(0, 1 << 52, 3000) % (1 << 51) // 7).tolist() + [5] * 50):
-        key |= owner
-        index.insert(key, row)
+    keys = [int(k) | owner for k in (rng.integers(0, 1 << 52, 3000) % (1 << 51) // 7).tolist() + [5] * 50]
+    for row, key in enumerate(keys):
         truth.setdefault(key, []).append(row)
+    for lo in range(0, len(keys), batch):
+        part = np.array(keys[lo : lo + batch], np.uint64)
+        index.extend(part, np.arange(lo, lo + len(part)), np.full(len(part), 3))
     assert index.depth > 5 and len(index.directory) == 1 << index.depth
     buckets = {id(b): b for b in index.directory}.values()
-    assert all(len(b.chains) <= 8 for b in buckets) and sum(len(b.chains) for b in buckets) == len(truth)
+    assert all(b.distinct() <= 8 for b in buckets) and sum(b.distinct() for b in buckets) == len(truth)
     index.save(str(tmp_path / "i"))
     saved = E.SavedIndex(str(tmp_path / "i"))
     assert all(saved.chain(k).tolist() == rows for k, rows in truth.items())
     assert len(saved.chain(owner | 3)) == 0
+    rows, counts = saved.heads(np.array([*truth, owner | 3], np.uint64))
+    assert rows.tolist() == [r[0] for r in truth.values()] + [-1] and counts.tolist() == [3] * len(truth) + [0]
     E.ExtendibleIndex(4).save(str(tmp_path / "none"))
     assert len(E.SavedIndex(str(tmp_path / "none")).chain(1)) == 0
 

@@ -198,6 +198,11 @@ class Pieces:
         # a string stands for itself after a space, a tuple for its only element as it is
         self.add, self.reset, self.slot, self.odd = add, reset, {}, set()
 
+    def forget(self) -> None:
+        self.slot.clear()
+        self.odd.clear()
+        self.reset()
+
     def _learn(self, keys: Iterable[str | tuple[str]]) -> None:
         new = [k for k in dict.fromkeys(keys) if k not in self.slot]
         if new:
@@ -214,9 +219,7 @@ class Pieces:
         off, _ = buffers(array)
         for lo, hi in chunks(off, PIECE_BYTES):
             if len(self.slot) > REMEMBER:
-                self.slot.clear()
-                self.odd.clear()
-                self.reset()
+                self.forget()
             each = []
             for text in array.slice(lo, hi - lo).to_pylist():
                 if text:

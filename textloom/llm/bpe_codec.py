@@ -143,6 +143,9 @@ class Encoder:
         self.pieces = Pieces(self._add, self._reset)
         self._reset()
 
+    def forget(self) -> None:
+        self.pieces.forget()
+
     def _reset(self) -> None:
         self.first, self.lens, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
@@ -199,29 +202,10 @@ class Decoder:
 def frequent_words(docs: DataFrame, text_col: str = "text", most: int = LEXICON, least: int = FREQUENT) -> list[str]:
     """The most frequent words of all texts: at least `least` occurrences, at most `most` words. Words that are about as frequent as each other are all in or all out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: list[str] = []
-        counts = np.zeros(0, np.int64)
-        full: list[pa.RecordBatch] = []
-
-        def out() -> None:
-            nonlocal counts
-            have = min(len(counts), len(words))
-            full.append(pa.RecordBatch.from_arrays([pa.array(words[:have], pa.string()), pa.array(counts[:have], pa.int64())], names=["word", "n"]))
-            words.clear()
-            counts = np.zeros(0, np.int64)
-
-        pieces = Pieces(words.extend, out)
-        for batch in batches:
-            for _, _, codes, _ in pieces.codes(batch.column(0)):
-                counts = np.concatenate((counts, np.zeros(len(words) - len(counts), np.int64)))
-                counts += np.bincount(codes, minlength=len(words))
-                yield from full
-                full.clear()
-        out()
-        yield from full
-
-    counted = written(batched(docs).select(col(text_col)).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "words")
+    # what stands between two spaces, with the space before it, as Pieces has it; counted within tasks before the exchange
+    cut = docs.select(F.posexplode(F.split(col(text_col), " ")).alias("pos", "w")).where("NOT w RLIKE '^\\\\s|\\\\s$' AND w <> ''")
+    words = cut.select(F.when(F.col("pos") == 0, F.col("w")).otherwise(F.concat(F.lit(" "), "w")).alias("word"))
+    counted = written(words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least), "words")
     # from the top, as many of sixteen bins to a doubling as hold no more words than are wanted: no sort, no large task
     step = F.floor(F.log2("n") * 16)
     sizes = {r.step: r.words for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect()}
@@ -255,8 +239,14 @@ def _codec(folder: str, path: str) -> tuple[Encoder, Decoder]:
 
 def _coder(folder: str, path: str) -> Callable[[F.Column], F.Column]:
     @F.arrow_udf("struct<token_ids: array<int>, n_tokens: bigint, round_trip: boolean>")
-    def run(text: pa.Array) -> pa.Array:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, decoder = _codec(folder, path)
+        for text in texts:
+            yield coded(text, encoder, decoder)
+        # a worker that idles, or that runs another stage's tasks, needn't hold the words of this one
+        encoder.forget()
+
+    def coded(text: pa.Array, encoder: Encoder, decoder: Decoder) -> pa.Array:
         off, data = buffers(text)
         ids, counts, same = [], [], []
         for lo, hi, own, n in encoder.encode(text):
@@ -281,15 +271,16 @@ def _coder(folder: str, path: str) -> Callable[[F.Column], F.Column]:
     return run
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}") -> DataFrame:
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}", lexicon: str | None = None) -> DataFrame:
     """(doc_id, token_ids, n_tokens, round_trip) of every row; round_trip says whether the decoded ids give the text's bytes again.
 
     Words of docs that are frequent over the whole table are compiled into a transducer, which workers map into memory;
-    other words are merged exactly, so the ids don't depend on the lexicon. Special tokens in a text are ordinary text.
+    other words are merged exactly, so the ids don't depend on the lexicon. One that lexicon_for made before, of these or
+    other documents, may be given. Special tokens in a text are ordinary text.
     A null text has null in all three; an empty one has no ids and round_trip true. Repeated rows give equal rows; null
     ids are carried; an empty table gives no rows. Other columns play no part. Texts of any length are encoded whole.
     """
-    run = _coder(lexicon_for(docs, text_col, path), path)
+    run = _coder(lexicon or lexicon_for(docs, text_col, path), path)
     return batched(docs).select(col(id_col).alias("doc_id"), run(col(text_col)).alias("v")).select("doc_id", "v.token_ids", "v.n_tokens", "v.round_trip")
 
 

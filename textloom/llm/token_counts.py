@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +48,12 @@ _OPEN: dict[str, Counter] = {}
 
 def _counter(path: str) -> Callable[[F.Column], F.Column]:
     @F.arrow_udf("bigint")
-    def run(text: pa.Array) -> pa.Array:
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if path not in _OPEN:
             _OPEN[path] = Counter(load_ranks(path))
-        return pa.array(_OPEN[path].count(text), mask=text.is_null().to_numpy(zero_copy_only=False))
+        for text in texts:
+            yield pa.array(_OPEN[path].count(text), mask=text.is_null().to_numpy(zero_copy_only=False))
+        _OPEN[path].pieces.forget()
 
     return run
 

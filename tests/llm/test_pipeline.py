@@ -1,10 +1,11 @@
 """The pipeline's stages, each on its predecessor's written result, against brute force."""
 
 import importlib
+import os
 
 import __spark_entry__
 import corpus_pipeline
-from textloom.llm import bpe, exact_dedup, simhash_dedup
+from textloom.llm import bpe, common, exact_dedup, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,10 +31,45 @@ def test_stages(spark, tmp_path):
 
 
 def test_run_gives_the_last_stage(spark):
+    begun = common.made()
     out = corpus_pipeline.run(spark, SF)
+    # the last stage's input, and what it made itself
+    assert [at.rsplit("/", 1)[1].rsplit("-", 1)[0] for at in common._MADE[begun:]] == ["pipeline-mix_sources", "lexicon", "words"]
     assert out.columns == ["doc_id", "token_ids", "n_tokens", "round_trip"] and out.where("NOT round_trip").count() == 0
 
 
+def test_stages_of_odd_rows(table, odd_rows, spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing columns go through every stage, as the docstrings say."""
+    docs = table([*odd_rows, *[(100 + i, f"{odd_rows[0][1]} and then it ran away {i}", "en", "a", None) for i in range(30)]])
+    left = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "bpe_encode":
+            assert out.schema == docs.schema
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        left.append([r.doc_id for r in docs.select("doc_id").collect()])
+    assert not {3, 4, 5} & set(left[0]) and left[0].count(2) == 2 and None in left[0]
+    assert sorted(i for i in left[1] if i is not None and i < 100) == [i for i in sorted(set(left[0]) - {None, 2}) if i < 100] and len(left[1]) == len(set(left[1]))
+    assert 8 not in left[2] and {1, 7} <= set(left[2]) <= set(left[1]) and set(left[3]) <= set(left[2])
+    assert docs.count() == len(left[3]) and docs.where("NOT round_trip").count() == 0
+
+
+def test_stages_of_nothing(table, spark):
+    docs = table([])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_folders_are_released(spark, tmp_path):
+    begun = common.made()
+    one, two = (common.written(spark.range(5), n) for n in ("one", "two"))
+    common.release(spark, begun, keep=(two,))
+    assert not os.path.exists(common.mounted(one.written_at)) and two.count() == 5 and common.made() == begun + 1
+    common.discard(two)
+    assert not os.path.exists(common.mounted(two.written_at)) and common.made() == begun
+
+
 def test_entry():
     found = importlib.reload(__spark_entry__).queries()
     assert "pipeline" in found and all(any(n.startswith(f"op{k}_") for n in found) for k in range(1, 11))

@@ -21,6 +21,8 @@ CHUNK_BYTES = 1 << 20
 BATCH_ROWS, BATCH_BYTES = 4000, 8 << 20
 
 _LOCAL: list[str] = []
+#: Folders in the shared folder that this process made and hasn't deleted, in order.
+_MADE: list[str] = []
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
@@ -41,7 +43,7 @@ def col(name: str):
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's address under spark.checkpoint.dir; under a folder of this machine only where that is unset, as in local tests."""
+    """A new folder's address under spark.checkpoint.dir; under a folder of this machine only where that is unset, as in local tests. It lasts until it is discarded, or the driver's process ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
@@ -50,7 +52,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
             _LOCAL.append(tempfile.mkdtemp(prefix="textloom-"))
             atexit.register(shutil.rmtree, _LOCAL[0], True)
         base = f"file://{_LOCAL[0]}"
-    return f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/textloom/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
 
 
 def mounted(address: str) -> str:
@@ -66,7 +69,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, with no lineage, and safe when executors are lost."""
     at = shared_dir(df.sparkSession, name)
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.written_at = at
+    return out
+
+
+def made() -> int:
+    """A mark for release: how many folders there are so far."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ()) -> None:
+    """Deletes the folders made since a mark, but for those of the written tables in keep. Nothing that is still to be evaluated may read them."""
+    kept = {df.written_at for df in keep}
+    gone = [at for at in _MADE[since:] if at not in kept]
+    for at in gone:
+        _delete(at, spark)
+        _MADE.remove(at)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a written table that nothing will read any more."""
+    if df.written_at in _MADE:
+        _MADE.remove(df.written_at)
+        _delete(df.written_at, df.sparkSession)
+
+
+def _delete(at: str, spark: SparkSession | None) -> None:
+    if at.startswith("file:") or "://" not in at:
+        shutil.rmtree(mounted(at), ignore_errors=True)
+    elif spark is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    spark = SparkSession.getActiveSession()
+    while _MADE:
+        _delete(_MADE.pop(), spark)
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:

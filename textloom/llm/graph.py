@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.withColumn("m", F.min("v").over(Window.partitionBy("u")))
         step = low.select("u", F.col("m").alias("v")).union(low.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        now = written(step, name)
+        before, now = now, written(step, name)
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == told or seen[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -3,9 +3,16 @@
 import importlib
 import os
 
+import duckdb
+import numpy as np
+import pyarrow as pa
+import tiktoken
+from test_text import naive_language
+from test_tokens import PATTERN
+
 import __spark_entry__
 import corpus_pipeline
-from textloom.llm import bpe, common, exact_dedup, simhash_dedup
+from textloom.llm import bpe, common, exact_dedup, language_id, mixing, simhash_dedup
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +37,45 @@ def test_stages(spark, tmp_path):
         assert r.token_ids == [i for w in bpe.pretokens(read["mix_sources"][r.doc_id]) for i in bpe.merge_exactly(w.encode(), ranks)]
 
 
+def test_stages_match_brute_force(spark, tmp_path):
+    """Each stage on what its predecessor kept, against a slow version of its own."""
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), {}
+    model = language_id.fit(docs)
+    rows = [tuple(r) for r in docs.orderBy("doc_id").collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = sorted(tuple(r) for r in docs.collect())
+    rows = [r for r in rows if naive_language(model, r[1])[0] != "und"]
+    assert seen["language_id"] == rows
+    first = {}
+    for r in rows:
+        first.setdefault(r[1], r)
+    rows = sorted(first.values())
+    assert seen["exact_dedup"] == rows
+    sig, has = simhash_dedup.signatures(pa.array([r[1] for r in rows]))
+    root = [*range(len(rows))]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i + 1, len(rows)):
+            if has[i] and has[j] and np.bitwise_count(sig[i] ^ sig[j]).sum() <= simhash_dedup.MAX_BITS:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    rows = [r for i, r in enumerate(rows) if find(i) == i]
+    assert seen["simhash_near_dedup"] == rows
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/simhash_near_dedup/*.parquet'")
+    rows = sorted(r[:-1] for r in con.execute(mixing.MIX_SQL).fetchall())
+    assert seen["mix_sources"] == rows
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.load_ranks(f"{bpe.TOKENIZERS}/{bpe.VOCABULARY}"), special_tokens={})
+    assert seen["bpe_encode"] == sorted((r[0], ids, len(ids), True) for r in rows for ids in [own.encode_ordinary(r[1])])
+
+
 def test_run_gives_the_last_stage(spark):
     begun = common.made()
     out = corpus_pipeline.run(spark, SF)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, small, written
 
 #: Marks of the rendered form, and what stands for them inside a text.
 START, END = "<|im_start|>", "<|im_end|>"
@@ -13,27 +13,27 @@ SAFE_START, SAFE_END = "<|im_start |>", "<|im_end |>"
 ROLE = "user"
 
 
-def _chain(turns: str) -> str:
-    """SQL of the rolling hashes after each turn: the hash so far, the role's length, role and text go into the next."""
-    return f"aggregate({turns}, array(cast('' AS string)), (h, t) -> concat(h, array(md5(concat(h[size(h) - 1], ':', length(t.role), ':', t.role, t.text)))), h -> slice(h, 2, greatest(size(h) - 1, 1)))"
-
-
 def maximal_conversations(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns array of (turn, role, text)) of the conversations that are no proper prefix of a longer one; of equal ones the least conv_id."""
-    rows = turns.where(col(conv_col).isNotNull()).select(col(conv_col).alias("conv_id"), F.struct(col(turn_col).alias("turn"), F.coalesce(col(role_col), F.lit(ROLE)).alias("role"), F.coalesce(col(text_col), F.lit("")).alias("text")).alias("t"))
-    logged = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).withColumn("h", F.expr(_chain("turns")))
-    last = logged.select("conv_id", "turns", F.element_at("h", -1).alias("last"))
-    proper = logged.select(F.explode(F.expr("slice(h, 1, size(h) - 1)")).alias("last"))
-    first = last.groupBy("last").agg(F.min("conv_id").alias("conv_id"))
-    kept = first.join(proper, "last", "left_anti").select("conv_id")
-    return last.select("conv_id", "turns").join(kept, "conv_id", "left_semi")
+    each = turns.where(col(conv_col).isNotNull()).select(col(conv_col).alias("conv_id"), col(turn_col).alias("turn"), F.coalesce(col(role_col), F.lit(ROLE)).alias("role"), F.coalesce(col(text_col), F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    numbered = each.select("conv_id", F.row_number().over(order).alias("k"), F.count("*").over(Window.partitionBy("conv_id")).alias("n"), "turn", "role", "text")
+    # the hash after each turn rolls on from the one before: the turn's own, which its place goes into, is added to it
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rolled = [F.bit_xor(F.xxhash64(F.lit(seed), "k", F.length("role"), "role", "text")).over(so_far).alias(f"h{seed}") for seed in (1, 2)]
+    prefixes = written(numbered.withColumns(dict(zip(("h1", "h2"), rolled, strict=True))).select("conv_id", "k", "n", "h1", "h2"), "chat-prefixes")
+    key = ["k", "h1", "h2"]
+    whole = prefixes.where("k = n").groupBy(*key).agg(F.min("conv_id").alias("conv_id"))
+    kept = whole.join(prefixes.where("k < n").select(*key), key, "left_anti").select("conv_id")
+    said = each.join(small(written(kept, "chat-kept"), 40), "conv_id", "left_semi")
+    return said.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, n_turns, rendered) of each maximal conversation.
 
-    A conversation's turns are ordered by turn (null first), role and text. A chain of 128-bit hashes over its turns
-    stands for each of its prefixes; a conversation whose whole is a proper prefix of another is a snapshot and goes, and
+    A conversation's turns are ordered by turn (null first), role and text. Rolling 128-bit hashes over its turns
+    stand for its prefixes; a conversation whose whole is a proper prefix of another is a snapshot and goes, and
     of conversations with the same turns the least conv_id stays. Only role and text are compared, not the turn's number.
     A null role counts as "user", a null text as empty; an empty text is a turn. Rows with a null conv_id belong to no
     conversation. Repeated rows are turns of their own. An empty table gives no rows. Other columns play no part; texts

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textloom.functions.analyzers import Machine, count_code, machine_for, register, split_lines
-from textloom.functions.literals import find_hash_python, find_outside, find_outside_sql, find_outside_swift, find_unquoted, inside_quotes
+from textloom.functions.literals import find_hash_python, find_outside, find_outside_sql, find_outside_swift, find_unquoted, Quoting, inside_quotes
 from textloom.functions.styles import LITERALS, STYLES, style_of
 
 CASES = [
@@ -124,6 +124,27 @@ def test_searches():
     assert inside_quotes("a '<<", 3) and not inside_quotes("'a' <<", 4) and not inside_quotes("\\' <<", 3)
 
 
+def test_quoting_from_left_to_right():
+    """Asking for places in turn gives what asking for each alone gives."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(300):
+        line = "".join(rng.choice("ab\\\"'<") for _ in range(rng.randrange(1, 25)))
+        quoting = Quoting(line)
+        assert [quoting.inside(k) for k in range(len(line) + 1)] == [inside_quotes(line, k) for k in range(len(line) + 1)], line
+
+
+@pytest.mark.parametrize("ext", ["pl", "sh", "php", "rb"])
+@pytest.mark.parametrize("pattern", ["<<A ", "<<", "<<'", "\"<<A\\", "a'<<<A "])
+def test_long_lines_of_here_documents(ext, pattern):
+    import time
+
+    began = time.process_time()
+    count_code(pattern * (200_000 // len(pattern)) + "\nA\n", ext)
+    assert time.process_time() - began < 10
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet="ab \n\t\r'\"`#/*<>-={}()[]\\$%;!@+~é　", max_size=80), st.sampled_from(sorted(STYLES)))
 def test_no_text_breaks_a_machine(text, ext):

@@ -237,10 +237,55 @@ def test_reports(spark, tree):
     assert [json.loads(x)["files"] for x in lines(spark, tree, "--by", "ext", "--filter", "lines < 3")] == [1, 1, 1, 1]
 
 
-def test_write_lines(spark, tree, tmp_path):
+def test_write_lines(spark, tree, tmp_path_factory):
+    tmp_path = tmp_path_factory.mktemp("written")
     config = config_of(parser().parse_args([str(tree), "--format", "csv"]))
-    reports.write_lines(Engine(spark).run(config).stats, config, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 5
+    for fmt in ("csv", "md", "jsonl", "table", "yaml"):
+        config = config_of(parser().parse_args([str(tree), "--format", fmt, "--sloc", "--total-row", "--sort", "lines:desc"]))
+        stats = Engine(spark).run(config).stats
+        reports.write_lines(stats, config, str(tmp_path / fmt))
+        text = "".join(f.read_text() for f in sorted((tmp_path / fmt).glob("part-*")))
+        assert text.rstrip("\n").split("\n") == "\n".join(reports.render(stats, config)).rstrip("\n").split("\n")
+    config.format = "json"
+    reports.write_lines(stats, config, str(tmp_path / "json"))
+    assert [json.loads(r.value)["lines"] for r in spark.read.text(str(tmp_path / "json")).collect()] == [3, 2, 2, 1, 1]
+
+
+def test_scalars_of_yaml(spark):
+    names = ["plain/a.rs", "yes", "No", "12", "1.5e3", "-x", "a: b", "it's", "# x", "", "a b ", "tab\tx", 'q"x', "~", ".inf", "é", "x\n", "a-b_c+d"]
+    wanted = ["plain/a.rs", "'yes'", "'No'", "'12'", "'1.5e3'", "'-x'", "'a: b'", "'it''s'", "'# x'", "''", "'a b '", '"tab\\tx"', "'q\"x'", "'~'", "'.inf'", "'é'", '"x\\n"', "a-b_c+d"]
+    df = spark.createDataFrame([(n, 1, 1, None, None, 1, None, "", n, False) for n in names], FILE_STATS)
+    got = [r.b.split("\n") for r in df.select(reports.yaml_block().alias("b")).collect()]
+    assert [b[0] for b in got] == [f"- path: {w}" for w in wanted] and got[0][1:4] == ["  lines: 1", "  chars: 1", "  words: null"] and got[0][-1] == "  is_binary: false"
+
+
+def test_files_are_read_once(spark, tree, capsys, monkeypatch):
+    """A report's errors, rows and totals come from one read, whatever the files do meanwhile."""
+    from textloom.operators import reports as R
+
+    real = R.head_lines
+
+    def changed(config):
+        (tree / "a.rs").write_text("changed\n" * 50)
+        return real(config)
+
+    monkeypatch.setattr(R, "head_lines", changed)
+    config = config_of(parser().parse_args([str(tree), "--format", "csv", "--ext", "rs", "--total-row"]))
+    result = Engine(spark).run(config, once=True)
+    assert not result.has_errors()
+    assert [x.split(",")[0] for x in R.render(result.stats, config)] == ["lines", "3", "3"]
+
+
+def test_any_failure_is_an_error_row(spark, tree, monkeypatch):
+    from textloom.sources import files as S
+
+    monkeypatch.setattr(S, "MOST_BYTES", 15)
+    config = C.Config(walk=C.WalkOptions(roots=[str(tree)]), filter=C.FilterConfig(allow_ext=["rs"]))
+    reader = S._Reader({"config": json.dumps({"walk": {"roots": [str(tree)]}, "filter": {"mtime_since": None, "mtime_until": None, "allow_ext": ["rs"]}})})
+    row = next(iter(reader.read(reader.partitions()[0]))).to_pylist()[0]
+    assert row["content"] is None and row["error"].endswith("over 15 bytes") and config.walk.roots
+    monkeypatch.setattr("builtins.open", lambda *a, **k: (_ for _ in ()).throw(MemoryError("too much")))
+    assert next(iter(reader.read(S._Batch([S.Found("/x/y.rs", 3, None)])))).to_pylist()[0]["error"] == "Failed to read file '/x/y.rs': too much"
 
 
 def test_main(spark, tree, capsys):

@@ -96,7 +96,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif config.watch:
             watch(Engine(spark), config)
         else:
-            result = Engine(spark).run(config)
+            result = Engine(spark).run(config, once=True)
             for r in result.errors.toLocalIterator():
                 print(f"Error processing {r.path}: {r.error}", file=sys.stderr)
             for line in reports.render(result.stats, config):

@@ -11,7 +11,7 @@ import re
 from collections.abc import Callable
 from typing import Any
 
-from .literals import OPENERS, WHITE, blank, find_hash_python, find_outside, find_outside_sql, find_outside_swift, find_unquoted, inside_quotes, literal_end, string_rest
+from .literals import OPENERS, WHITE, Quoting, blank, find_hash_python, find_outside, find_outside_sql, find_outside_swift, find_unquoted, literal_end, string_rest
 from .styles import effective, literals_of, style_of
 
 
@@ -426,8 +426,9 @@ class Shell(Heredocs):
             return False
         at = find_unquoted(line, "#")
         shown = line if at < 0 else line[:at]
+        quoting = Quoting(shown)
         for m in self._HERE.finditer(shown):
-            if not inside_quotes(shown, m.start()):
+            if not quoting.inside(m.start()):
                 self.waiting.append((m[2] or m[3] or m[4], m[1] == "-"))
                 break
         return not blank(shown)
@@ -457,8 +458,9 @@ class Perl(Heredocs):
         text = line.strip(WHITE)
         if self.first(text) or text.startswith("#"):
             return False
+        quoting = Quoting(line)
         for m in self._HERE.finditer(line):
-            if not inside_quotes(line, m.start()):
+            if not quoting.inside(m.start()):
                 self.waiting.append((m[1] or m[2] or m[3], False))
         at = find_unquoted(line, "#")
         return not blank(line if at < 0 else line[:at])
@@ -489,8 +491,9 @@ class Php(Heredocs):
             return end >= 0 and self._counts(line[end + 2 :])
         block = find_outside(line, "/*")
         at = min((p for p in (block, find_outside(line, "//"), find_outside(line, "#")) if p >= 0), default=-1)
+        quoting = Quoting(line)
         for m in self._HERE.finditer(line):
-            if not inside_quotes(line, m.start()) and not 0 <= at < m.start():
+            if not quoting.inside(m.start()) and not 0 <= at < m.start():
                 self.waiting.append((m[1] or m[2] or m[3], True))
         if at < 0:
             return not blank(line)

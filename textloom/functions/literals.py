@@ -176,11 +176,25 @@ def find_unquoted(line: str, mark: str) -> int:
 _QUOTE_OR_ESCAPE = re.compile(r"\\[\s\S]?|[\"']")
 
 
+class Quoting:
+    """Whether places of a line lie within simply quoted text. Places are asked for from left to right, and the line is passed once."""
+
+    def __init__(self, line: str) -> None:
+        self.line, self.at, self.quote = line, 0, ""
+
+    def inside(self, place: int) -> bool:
+        while self.at < place and (m := _QUOTE_OR_ESCAPE.search(self.line, self.at, place)):
+            if m[0] == "\\":
+                # it escapes what is at the place itself
+                self.at = m.start()
+                return bool(self.quote)
+            if m[0][0] != "\\":
+                self.quote = "" if m[0] == self.quote else self.quote or m[0]
+            self.at = m.end()
+        self.at = max(self.at, place)
+        return bool(self.quote)
+
+
 def inside_quotes(line: str, place: int) -> bool:
-    """Whether a place lies within simply quoted text."""
-    open_quote = ""
-    for m in _QUOTE_OR_ESCAPE.finditer(line, 0, place):
-        q = m[0]
-        if q[0] != "\\":
-            open_quote = "" if q == open_quote else open_quote or q
-    return bool(open_quote)
+    """Whether one place lies within simply quoted text."""
+    return Quoting(line).inside(place)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,21 +59,35 @@ def removed(old: DataFrame, new: DataFrame) -> DataFrame:
     return added(new, old)
 
 
-def report(old: DataFrame, new: DataFrame) -> list[str]:
-    """The comparison's lines of text."""
+def section_lines(rows: DataFrame) -> DataFrame:
+    """(section, path, line) of each path that isn't unchanged, a line of the report; sections are 1 added, 2 removed, 3 modified. orderBy("section", by_component()) is the report's order."""
+    number = lambda c: F.col(c).cast("string")
+    signed = lambda c: F.concat(F.when(F.col(c) >= 0, "+").otherwise(""), number(c))
+    one = lambda mark, side: F.concat(F.lit(f"{mark} "), "path", F.lit(" (L:"), number(f"{side}_lines"), F.lit(", C:"), number(f"{side}_chars"), F.lit(")"))
+    both = F.concat(F.lit("~ "), "path", F.lit(" (Lines: "), signed("diff_lines"), F.lit(", Chars: "), signed("diff_chars"), F.lit(")"))
+    status = F.col("status")
+    section = F.when(status == "added", 1).when(status == "removed", 2).when(status == "modified", 3)
+    line = F.when(status == "added", one("+", "new")).when(status == "removed", one("-", "old")).otherwise(both)
+    return rows.where("status <> 'unchanged'").select(section.alias("section"), "path", line.alias("line"))
+
+
+def report(old: DataFrame, new: DataFrame) -> Iterator[str]:
+    """The comparison's lines of text, one at a time. The two sides are joined once, and kept for the summary and the sections."""
     rows = diff_rows(old, new)
+    rows = rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows.persist(StorageLevel.MEMORY_AND_DISK)
     s = diff_summary(rows).first()
     has_words = lambda df: bool(df.where("words IS NOT NULL").take(1))
-    out = ["Comparison Summary", "-------------------", f"Files: +{s.added_files} -{s.removed_files} ~{s.modified_files} ({s.unchanged_files} unchanged)", f"Lines: {s.diff_lines:+}", f"Chars: {s.diff_chars:+}"]
+    yield from ("Comparison Summary", "-------------------", f"Files: +{s.added_files} -{s.removed_files} ~{s.modified_files} ({s.unchanged_files} unchanged)", f"Lines: {s.diff_lines:+}", f"Chars: {s.diff_chars:+}")
     if has_words(old) and has_words(new):
-        out.append(f"Words: {s.diff_words:+}")
-    out.append("")
-    for status, title, mark, side in (("added", "Added", "+", "new"), ("removed", "Removed", "-", "old"), ("modified", "Modified", "~", "")):
-        found = list(rows.where(F.col("status") == status).orderBy(by_component()).toLocalIterator())
-        if not found:
-            continue
-        out.append(f"### {title} Files")
-        out += [f"{mark} {r.path} (L:{r[f'{side}_lines']}, C:{r[f'{side}_chars']})" if side else f"{mark} {r.path} (Lines: {r.diff_lines:+}, Chars: {r.diff_chars:+})" for r in found]
-        if side:
-            out.append("")
-    return out
+        yield f"Words: {s.diff_words:+}"
+    yield ""
+    open_section = 0
+    for r in section_lines(rows).orderBy("section", by_component()).toLocalIterator():
+        if r.section != open_section:
+            if open_section:
+                yield ""
+            open_section = r.section
+            yield f"### {('Added', 'Removed', 'Modified')[r.section - 1]} Files"
+        yield r.line
+    if open_section in (1, 2):
+        yield ""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def line_stats(df: DataFrame, key_col: str, text_col: str, ext: str | Column = "
 
 
 def file_stats(files: DataFrame, words: bool, sloc: bool, newlines: bool, mapping: dict[str, str] | None = None) -> DataFrame:
-    """Rows of schema.FILE_STATS from those of schema.FILES. A binary content has no lines or characters, and null words and sloc."""
-    marked = files.where("error IS NULL").withColumn("is_binary", M.is_binary(F.col("content")))
+    """Rows of schema.FILE_STATS, with the error, from those of schema.FILES. A binary content has no lines or characters, and null words and sloc; one that couldn't be read has null counts."""
+    marked = files.withColumn("is_binary", M.is_binary(F.col("content")))
     text = M.decoded(F.when(~F.col("is_binary"), F.col("content")))
     ext = M.mapped_ext(F.col("ext"), mapping)
     none = F.lit(None).cast("bigint")
@@ -45,7 +47,7 @@ def file_stats(files: DataFrame, words: bool, sloc: bool, newlines: bool, mappin
         "path", zero(M.line_count(body)).alias("lines"), zero(M.chars_by_ext(body, ext, newlines)).alias("chars"),
         (F.when(~F.col("is_binary"), M.word_count(body)) if words else none).alias("words"),
         (F.when(~F.col("is_binary"), M.code_count(body, ext)) if sloc else none).alias("sloc"),
-        "size", "mtime", "ext", "name", "is_binary",
+        "size", "mtime", "ext", "name", "is_binary", "error",
     )
 
 
@@ -60,6 +62,17 @@ def filter_stats(stats: DataFrame, f: FilterConfig) -> DataFrame:
     return stats.where(f.condition) if f.condition else stats
 
 
+def filter_metadata(df: DataFrame, f: FilterConfig, size_col: str = "size", mtime_col: str = "mtime", ext_col: str = "ext") -> DataFrame:
+    """Rows of a table of files within the inclusive bounds of size and time and with an allowed extension; a missing time is within no bounds. The scan takes the bounds as pushed filters."""
+    for name, least, most in ((size_col, f.min_size, f.max_size), (mtime_col, f.mtime_since, f.mtime_until)):
+        for bound, op in ((least, F.Column.__ge__), (most, F.Column.__le__)):
+            if bound is not None:
+                # a moment is given in the column's own type, so that the scan can compare it
+                at = F.lit(bound) if isinstance(bound, int) else F.lit(bound.astimezone(timezone.utc).replace(tzinfo=None).isoformat(" ")).cast(df.schema[name].dataType)
+                df = df.where(op(F.col(name), at))
+    return filter_ext(df, f.allow_ext, f.deny_ext, ext_col) if f.allow_ext or f.deny_ext else df
+
+
 def filter_ext(df: DataFrame, allow: list[str], deny: list[str] = (), ext_col: str = "ext") -> DataFrame:
     """Rows whose extension, without case, is allowed and not denied; with an allow list, rows without one go."""
     clean = lambda xs: sorted({x.strip().lstrip(".").lower() for x in xs} - {""})

@@ -24,6 +24,8 @@ from .path_safety import SanitizeOptions, is_path_safe, sanitize_path
 NAME = "textloom_files"
 #: Bytes of content in a batch, and of a partition; a larger file is one of its own.
 BATCH_BYTES, PARTITION_BYTES = 16 << 20, 128 << 20
+#: Bytes of the largest content that a row can hold; a larger file is an error.
+MOST_BYTES = (1 << 31) - (64 << 20)
 
 
 @dataclass
@@ -211,9 +213,11 @@ class _Reader(DataSourceReader):
             content = error = None
             try:
                 with open(f.path, "rb") as file:
-                    content = file.read()
-            except OSError as bad:
-                error = f"Failed to read file '{f.path}': {bad.strerror}"
+                    content = file.read(MOST_BYTES + 1)
+                if len(content) > MOST_BYTES:
+                    content, error = None, f"Failed to read file '{f.path}': over {MOST_BYTES} bytes"
+            except Exception as bad:  # whatever it is, it concerns this file alone
+                error = f"Failed to read file '{f.path}': {getattr(bad, 'strerror', None) or bad or type(bad).__name__}"
             name = os.path.basename(f.path)
             rows.append((f.path, f.size, None if f.mtime is None else int(f.mtime * 1e6), extension(name), name, content, error))
             held += len(content or b"")

@@ -92,7 +92,7 @@ def cycle(engine: Engine, config: Config, say: Callable[[str], None] = print) ->
     if config.watch_output == "full":
         say(CLEAR)
     try:
-        result = engine.run(config)
+        result = engine.run(config, once=True)
         for r in result.errors.toLocalIterator():
             print(f"Error processing {r.path}: {r.error}", file=sys.stderr)
         for line in render(result.stats, config):

@@ -11,6 +11,12 @@ from ..functions import metrics as M
 from ..plans.config import FilterConfig
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores where it has fewer, as a table in one small file has; larger ones are left as they are, and nothing is exchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def analyze_table(df: DataFrame, text_col: str, ext: str | Column = "", words: bool = True, sloc: bool = True, newlines: bool = False) -> DataFrame:
     """df with lines, chars, words and sloc of a text column; ext is one extension for all rows or a column. What isn't asked for is null and not computed."""
     text = F.col(text_col)

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..functions import metrics as M
 from ..functions.analyzers import PREFIXES
 from ..operators import compare, reports
-from ..operators.stats import analyze_table, filter_ext, filter_stats, line_stats, sort_stats, totals
-from .config import Config, FilterConfig, WalkOptions
+from ..operators.stats import analyze_table, filter_ext, filter_metadata, filter_stats, line_stats, spread, totals
+from ..sources.snapshot import parse_snapshot
+from .config import Config, FilterConfig, WalkOptions, parse_datetime, parse_size, parse_sort
 from .engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +26,7 @@ INK = f"[^{_WS}]"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def sql_lines(t: str) -> str:
@@ -87,10 +89,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return df.groupBy("conv_id").agg(F.count("*").alias("turns"), *[F.sum(c).alias(c) for c in ("lines", "chars", "words")])
 
 
-@query("line_stats", f"SELECT doc_id, (k - 1)::BIGINT AS line, regexp_matches(l[k], '{INK}')::BIGINT AS sloc, length(l[k])::BIGINT AS chars, {sql_words('l[k]')} AS words FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text <> '' AND right(text, 1) <> chr(10)))")
+@query("line_stats", f"SELECT doc_id, (k - 1)::BIGINT AS line, regexp_matches(l[k], '{INK}')::BIGINT AS sloc, length(l[k])::BIGINT AS chars, {sql_words('l[k]')} AS words FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    docs = _table(spark, d, "documents").where("text <> '' AND right(text, 1) <> '\n'")
-    return line_stats(docs, "doc_id", "text", "txt").withColumnRenamed("key", "doc_id")
+    return line_stats(_table(spark, d, "documents"), "doc_id", "text", "txt").withColumnRenamed("key", "doc_id")
 
 
 @query("words_unicode", f"SELECT doc_id, {sql_words('t')} AS words FROM (SELECT doc_id, replace(text, ' the ', chr(8195) || 'the' || chr(12288)) AS t FROM documents)")
@@ -142,7 +143,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("filter_size", f"SELECT path, size FROM ({DOCS}) WHERE size BETWEEN 1024 AND 2048")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return doc_stats(spark, d, False, False).where(F.col("size").between(1 << 10, 2 << 10)).select("path", "size")
+    return filter_metadata(doc_stats(spark, d, False, False), FilterConfig(min_size=parse_size("1k"), max_size=parse_size("2KiB"))).select("path", "size")
 
 
 @query("filter_ext_list", "SELECT doc_id, source FROM documents WHERE lower(source) IN ('src1', 'src2', 'src17')")
@@ -163,18 +164,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("mtime_window", "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderdate >= TIMESTAMP '1995-03-01 00:00:00' AND o_orderdate <= TIMESTAMP '1996-06-30 12:00:00'")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """The bounds that --mtime-since and --mtime-until parse to, pushed down to the scan."""
-    since, until = datetime(1995, 3, 1, tzinfo=timezone.utc), datetime(1996, 6, 30, 12, tzinfo=timezone.utc)
-    orders = _table(spark, d, "orders")
-    kind = orders.schema["o_orderdate"].dataType.simpleString()
-    bound = lambda t: F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast(kind)
-    return orders.where(F.col("o_orderdate").between(bound(since), bound(until))).select("o_orderkey", "o_orderdate")
+    bounds = FilterConfig(mtime_since=parse_datetime("1995-03-01T00:00:00Z"), mtime_until=parse_datetime("1996-06-30T12:00:00Z"))
+    return filter_metadata(_table(spark, d, "orders"), bounds, mtime_col="o_orderdate").select("o_orderkey", "o_orderdate")
 
 
 @query("sort_multikey_top", f"SELECT path, lines, words FROM (SELECT path, lines, CASE WHEN lang <> 'fr' THEN words END AS words FROM ({DOCS})) ORDER BY coalesce(words, 0) DESC, lines, path LIMIT 25")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Null words sort as 0; ties go by path."""
-    df = doc_stats(spark, d, sloc=False).withColumn("words", F.when(F.col("lang") != "fr", F.col("words")))
-    return sort_stats(df, [("words", True), ("lines", False)]).limit(25).select("path", "lines", "words")
+    df = doc_stats(spark, d, sloc=False).withColumns({"words": F.when(F.col("lang") != "fr", F.col("words")), "is_binary": F.lit(False)})
+    return reports.presented(df, Config(sort=parse_sort("words:desc, lines"), top=25)).select("path", "lines", "words")
 
 
 _TOTALS = "count(*)::BIGINT AS files, coalesce(sum(lines), 0)::BIGINT AS lines, coalesce(sum(chars), 0)::BIGINT AS chars, coalesce(sum(words), 0)::BIGINT AS words, coalesce(sum(sloc), 0)::BIGINT AS sloc"
@@ -259,7 +257,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("snapshot_order", f"SELECT path, (row_number() OVER (ORDER BY string_split(path, '/')))::BIGINT AS nth FROM ({_OLD})")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Paths compare component by component. The numbering needs one partition; a report's sort doesn't."""
-    return snapshots(spark, d)[0].selectExpr("path", "cast(row_number() OVER (ORDER BY split(path, '/')) AS bigint) AS nth")
+    return snapshots(spark, d)[0].select("path", F.row_number().over(Window.orderBy(compare.by_component())).cast("bigint").alias("nth"))
+
+
+_SIGNED = "CASE WHEN {0} >= 0 THEN '+' ELSE '' END || {0}"
+
+
+@query(
+    "diff_report",
+    f"""SELECT CASE status WHEN 'added' THEN 1 WHEN 'removed' THEN 2 ELSE 3 END::INTEGER AS section, path,
+  CASE status WHEN 'added' THEN '+ ' || path || ' (L:' || new_lines || ', C:' || new_chars || ')' WHEN 'removed' THEN '- ' || path || ' (L:' || old_lines || ', C:' || old_chars || ')'
+  ELSE '~ ' || path || ' (Lines: ' || {_SIGNED.format('diff_lines')} || ', Chars: ' || {_SIGNED.format('diff_chars')} || ')' END AS line FROM ({_DIFF}) WHERE status <> 'unchanged'""",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return compare.section_lines(compare.diff_rows(*snapshots(spark, d)))
+
+
+@query("snapshot_source", f"SELECT path, lines, chars, words, NULL::BIGINT AS sloc, lines - 1 AS position FROM ({_OLD}) WHERE path LIKE 'd3/%'")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A snapshot's JSON as read_snapshot parses it: an array in one text, without the counts that it lacks."""
+    old = snapshots(spark, d)[0].where("path LIKE 'd3/%'").select("path", "lines", "chars", "words")
+    whole = old.groupBy().agg(F.to_json(F.collect_list(F.struct("path", "lines", "chars", "words")), {"ignoreNullFields": "false"}).alias("value"))
+    return parse_snapshot(whole).select("path", "lines", "chars", "words", "sloc", (F.col("lines") - 1).alias("position"))
 
 
 # --- reports ----------------------------------------------------------------------------------------------------------
@@ -297,92 +316,140 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return df.select(reports.table_row(config).alias("line"))
 
 
-@query("report_jsonl", f"""SELECT '{{"chars":' || chars || ',"ext":"' || ext || '","is_binary":false,"lines":' || lines || ',"mtime":null,"name":"' || ext || '","path":"' || replace(path, '"', '\\"') || '","size":' || size || ',"sloc":' || sloc || ',"type":"file","words":' || words || '}}' AS line FROM ({_NAMED})""")
+@query("report_json", f"""SELECT chr(32) || chr(32) || '{{' || chr(10) || '    "path": "' || replace(path, '"', '\\"') || '",' || chr(10) || '    "lines": ' || lines || ',' || chr(10) || '    "chars": ' || chars || ',' || chr(10) || '    "words": ' || words || ',' || chr(10) || '    "sloc": ' || sloc || ',' || chr(10) || '    "size": ' || size || ',' || chr(10)
+  || '    "mtime": null,' || chr(10) || '    "ext": "' || ext || '",' || chr(10) || '    "name": "' || ext || '",' || chr(10) || '    "is_binary": false' || chr(10) || '  }}' AS line FROM ({_NAMED})""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _report(spark, d)[0].select(reports.json_object({"type": "file"}, alphabetical=True).alias("line"))
+    return _report(spark, d)[0].select(reports.json_block().alias("line"))
 
 
-# --- source lines of each style ---------------------------------------------------------------------------------------
+@query("report_yaml", f"""SELECT '- path: ' || chr(39) || path || chr(39) || chr(10) || '  lines: ' || lines || chr(10) || '  chars: ' || chars || chr(10) || '  words: ' || words || chr(10) || '  sloc: ' || sloc || chr(10) || '  size: ' || size || chr(10)
+  || '  mtime: null' || chr(10) || '  ext: ' || ext || chr(10) || '  name: ' || ext || chr(10) || '  is_binary: false' AS line FROM ({_NAMED})""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d)[0].select(reports.yaml_block().alias("line"))
 
-#: Documents without any character that a style reads, so that only the marks put into them count.
-_CLEAN = "[\"'`#\\\\/*<>{}=%;@$!&|:()\\[\\]-]"
 
+@query("report_jsonl", f"""SELECT '{{"chars":' || chars || ',"ext":"' || ext || '","is_binary":false,"lines":' || lines || ',"mtime":null,"name":"' || ext || '","path":"' || replace(path, '"', '\\"') || '","size":' || size || ',"sloc":' || sloc || ',"type":"file","words":' || words || '}}' AS line FROM ({_NAMED})""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _report(spark, d)[0].select(reports.json_object({"type": "file"}, alphabetical=True).alias("line"))
 
-def _marked(line: str, block: tuple[str, str] | None) -> Callable[[Column], Column]:
-    """Turns lines with a T into line comments, those with an A into block comments, and makes every E line's successor blank."""
 
-    def change(text: Column) -> Column:
-        text = F.regexp_replace(text, "(?m)^(E.*)$", "$1\n ")
-        text = F.regexp_replace(text, "(?m)^(T.*)$", f"{line}$1")
-        return F.regexp_replace(text, "(?m)^(A.*)$", f"{block[0]}$1{block[1]}") if block else text
+_FEET = {
+    "csv": "SELECT 'TOTAL' AS what, lines || ',' || sloc || ',' || chars || ',' || words || ',TOTAL' AS line",
+    "jsonl": f"""SELECT 'TOTAL' AS what, '{{"chars":' || chars || ',"files":' || files || ',"lines":' || lines || ',"sloc":' || sloc || ',"type":"total","version":"{__version__}","words":' || words || '}}' AS line""",
+    "table": f"SELECT 'TOTAL' AS what, '---' || chr(10) || lpad(lines::VARCHAR, greatest(9, length(lines::VARCHAR))::INTEGER, ' ') || lpad(sloc::VARCHAR, 16, ' ') || lpad(chars::VARCHAR, 16, ' ') || '      TOTAL (' || files || ' files)' || chr(10) || chr(10) || '[{reports.PROGRAM}] Completed: ' || files || ' files processed.' AS line",
+}
 
-    return change
+
+def _add_foot(fmt: str) -> None:
+    @query(f"report_{fmt}_total", f"{_FEET[fmt]} FROM (SELECT {_TOTALS} FROM ({DOCS}))")
+    def _(spark: SparkSession, d: str) -> DataFrame:
+        df, config = _report(spark, d)
+        config.format, config.total_row = fmt, True
+        return reports.foot_lines(totals(df), config).select(F.lit("TOTAL").alias("what"), "line")
 
 
-def _styled_sql(block: bool, blanks: bool) -> str:
-    spaced = "regexp_replace(text, '(?m)^(E.*)$', '\\1' || chr(10) || ' ', 'g')"
-    keep = "NOT starts_with(l, 'T')" + (" AND NOT starts_with(l, 'A')" if block else "") + ("" if blanks else f" AND regexp_matches(l, '{INK}')")
-    clean = _CLEAN.replace("'", "''")
-    return f"SELECT doc_id, {sql_sloc('t', keep)} AS sloc FROM (SELECT doc_id, {spaced} AS t FROM documents WHERE NOT regexp_matches(text, '{clean}'))"
+for _fmt in _FEET:
+    _add_foot(_fmt)
 
 
-#: Style, extension, line mark, block marks, whether blank lines count.
-STYLED: tuple[tuple[str, str, str, tuple[str, str] | None, bool], ...] = (
-    ("c", "c", "// ", ("/* ", " */"), False), ("cpp", "cpp", "  // ", ("/*", "*/"), False), ("csharp", "cs", "// ", ("/* ", " */"), False), ("java", "java", "// ", ("/* ", " */"), False), ("go", "go", "// ", ("/* ", " */"), False),
-    ("rust", "rs", "// ", ("/* /* ", " */ */"), False), ("kotlin", "kt", "// ", ("/* ", " */"), False), ("javascript", "ts", "// ", ("/* ", " */"), False), ("swift", "swift", "// ", ("/* ", " */"), True), ("d", "d", "// ", ("/\\+ ", " \\+/"), True),
-    ("php", "php", "# ", ("/* ", " */"), False), ("python", "py", "# ", ('"""', '"""'), False), ("ruby", "rb", "  # ", None, False), ("perl", "pl", "# ", None, False), ("shell", "sh", "# ", None, False), ("hash", "toml", "# ", None, True),
-    ("powershell", "ps1", "# ", ("<# ", " #>"), False), ("lua", "lua", "-- ", ("--[[ ", " ]]"), True), ("html", "html", "<!-- x -->", None, True), ("sql", "sql", "-- ", ("/* ", " */"), True), ("haskell", "hs", "-- ", ("{- ", " -}"), True), ("julia", "jl", "# ", ("#= ", " =#"), True),
-    ("ocaml", "ml", "(* x *) ", ("(* ", " *)"), True), ("matlab", "mlx", "% ", None, True), ("gas", "s", "@ ", ("/* ", " */"), True), ("fortran", "f90", "  ! ", None, False), ("plain", "txt", "", None, False),
+# --- source lines of each style ---------------------------------------------------------------------------------------
+
+#: Characters that some style reads. They are taken out of the documents, so that only the marks that are put in count.
+_READ = "\"'`#\\/*<>{}=%;@$!&|:()[]-"
+_CLEAN_SQL = "translate(text, '" + _READ.replace("'", "''") + "', '')"
+
+
+class Styled(NamedTuple):
+    """A style's marks. Every document's lines that begin with T become line comments, with A comments of one line, with S
+    code with a literal that holds marks, with I three lines with a comment or a document over them; a blank line follows
+    those with E. counts: the code lines that a T, an A and an I line make."""
+
+    name: str
+    ext: str
+    line: str
+    block: tuple[str, str] = ("", "")
+    literal: tuple[str, str] = ("", "")
+    lines: tuple[str, str] = ("", "")
+    blanks: bool = False
+    counts: tuple[int, int, int] = (0, 0, 0)
+
+
+_C = {"block": ("/* ", " */"), "lines": ("/* a\n", "\nb */")}
+STYLED = (
+    Styled("c", "c", "// ", **_C, literal=('s = "// ', ' \\" /* ";')), Styled("cpp", "cpp", "  // ", ("/*", "*/"), ('s = R"x(// ) " ', ' /* )x";'), ("/*\n", "\n*/")),
+    Styled("csharp", "cs", "// ", **_C, literal=('s = @"// ""', ' /* \\";')), Styled("java", "java", "// ", **_C, literal=('s = """// "', ' /* """;')), Styled("go", "go", "// ", **_C, literal=("s := `// \"", " /* ` ")),
+    Styled("rust", "rs", "// ", ("/* /* ", " */ */"), ('s = r#"// "', ' /* "#;'), ("/* /*\n", "\n*/ a\n*/")), Styled("kotlin", "kt", "// ", **_C, literal=('s = "// ', ' /* "')),
+    Styled("javascript", "ts", "// ", **_C, literal=("s = `// ", " ${ a /* b */ } /* `;")), Styled("swift", "swift", "// ", **_C, literal=('s = #"// "', ' /* "#'), blanks=True),
+    Styled("d", "d", "// ", ("/+ ", " +/"), ('s = "// ', ' /+ /* ";'), ("/+ /+\n", "\n+/ +/"), True), Styled("php", "php", "# ", **_C, literal=('$s = "# ', ' // /* ";')),
+    Styled("python", "py", "# ", ('"""', '"""'), ("s = f'# ", " {a} #'"), ('"""\n', '\n"""')), Styled("ruby", "rb", "  # ", ("# ", ""), ('s = "# ', ' #{a} #"'), ("=begin\n", "\n=end")),
+    Styled("perl", "pl", "# ", ("# ", ""), ('$s = "# ', ' #";'), ("=pod\n", "\n=cut")), Styled("shell", "sh", "# ", ("# ", ""), ('s="# ', ' #"'), ('cat << "EOF"\n# ', "\nEOF"), counts=(0, 0, 3)),
+    Styled("hash", "toml", "# ", ("# ", ""), ('s = "# ', ' #"'), ("# ", "\n# a\n# b"), True), Styled("powershell", "ps1", "# ", ("<# ", " #>"), ('$s = "# ', ' #"'), ("<#\n", "\n#>")),
+    Styled("lua", "lua", "-- ", ("--[[ ", " ]]"), ("s = '-- ", " --[['"), ("--[==[\n", " ]]\n]==]"), True), Styled("html", "html", "<!-- x -->", ("<!-- ", " -->"), ("<a>", "</a><!-- x -->"), ("<!--\n", "\n-->"), True, (1, 0, 0)),
+    Styled("sql", "sql", "-- ", ("/* ", " */"), ("s = '-- ''", " /* '"), ("/*\n", "\n*/"), True), Styled("haskell", "hs", "-- ", ("{- ", " -}"), ("s = ", " -- x"), ("{- {-\n", " -}\n-}"), True),
+    Styled("julia", "jl", "# ", ("#= ", " =#"), ("s = ", " # x"), ("#= #=\n", " =#\n=#"), True), Styled("ocaml", "ml", "(* x *) ", ("(* ", " *)"), ("s = ", " (* x *)"), ("(* (*\n", " *)\n*)"), True, (1, 0, 0)),
+    Styled("matlab", "mlx", "% ", ("% ", ""), ("s = ", " % x"), ("%{\n", "\n%}"), True), Styled("gas", "s", "@ ", ("/* ", " */"), ("mov ", " /* x */"), ("/*\n", "\n*/"), True),
+    Styled("fortran", "f90", "  ! ", ("! ", ""), ("s = ", " ! x"), ("! ", "\n!\nc a")), Styled("plain", "txt", "", counts=(1, 1, 1)),
 )
 
 
-def _add_style(name: str, ext: str, line: str, block: tuple[str, str] | None, blanks: bool) -> None:
-    sql = _styled_sql(block is not None, blanks)
-    if name in ("html", "ocaml", "plain"):
-        # text after a comment's end counts, and there is no line comment at all
-        sql = sql.replace("NOT starts_with(l, 'T') AND ", "", 1).replace("NOT starts_with(l, 'T')", "TRUE", 1)
-    if name == "fortran":
-        # at the first column these letters are marks too
-        sql = sql.replace("NOT starts_with(l, 'T')", "NOT regexp_matches(l, '^[TCc]')", 1)
+def styled(text: Column, style: Styled) -> Column:
+    """A document with the style's marks put in."""
+    wrap = lambda line, marks: F.concat(F.lit(marks[0]), line, F.lit(marks[1]))
 
-    @query(f"sloc_{name}", sql)
-    def _(spark: SparkSession, d: str) -> DataFrame:
-        docs = _table(spark, d, "documents").where(~F.col("text").rlike(_CLEAN))
-        return docs.select("doc_id", M.code_count(_marked(line, block)(F.col("text")), ext).alias("sloc"))
+    def change(line: Column) -> Column:
+        begins = lambda c: F.startswith(line, F.lit(c))
+        return (
+            F.when(begins("T"), wrap(line, (style.line, ""))).when(begins("A"), wrap(line, style.block)).when(begins("S"), wrap(line, style.literal))
+            .when(begins("I"), wrap(line, style.lines)).when(begins("E"), wrap(line, ("", "\n "))).otherwise(line)
+        )
 
+    return F.array_join(F.transform(F.split(F.translate(text, _READ, ""), "\n"), change), "\n")
 
-for _entry in STYLED:
-    _add_style(*_entry)
 
+def styled_sql(style: Styled) -> str:
+    """Code lines by what each line of the documents was made into."""
+    blank = int(style.blanks)
+    t, a, i = style.counts
+    other = "WHEN regexp_matches(l, '^[Cc]') THEN 0 " if style.name == "fortran" else ""
+    weight = f"CASE WHEN starts_with(l, 'T') THEN {t} WHEN starts_with(l, 'A') THEN {a} WHEN starts_with(l, 'S') THEN 1 WHEN starts_with(l, 'I') THEN {i} WHEN starts_with(l, 'E') THEN {1 + blank} {other}WHEN regexp_matches(l, '{INK}') THEN 1 ELSE {blank} END"
+    return f"SELECT doc_id, coalesce(list_sum(list_transform(CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END, lambda l: {weight})), 0)::BIGINT AS sloc FROM (SELECT doc_id, string_split({_CLEAN_SQL}, chr(10)) AS l FROM documents)"
 
-def _add_prefix(style: str, ext: str, mark: str) -> None:
-    @query(f"sloc_prefix_{style}", _styled_sql(False, True))
+
+def _add_style(style: Styled) -> None:
+    @query(f"sloc_{style.name}", styled_sql(style))
     def _(spark: SparkSession, d: str) -> DataFrame:
-        docs = _table(spark, d, "documents").where(~F.col("text").rlike(_CLEAN))
-        return docs.select("doc_id", M.code_count(_marked(mark, None)(F.col("text")), ext).alias("sloc"))
+        return _table(spark, d, "documents").select("doc_id", M.code_count(styled(F.col("text"), style), style.ext).alias("sloc"))
 
 
 for _style, _ext in (("vhdl", "vhd"), ("erlang", "tex"), ("lisp", "el"), ("assembly", "asm"), ("batch", "cmd"), ("basic", "vbs")):
-    _add_prefix(_style, _ext, "\t" + PREFIXES[_style][0][-1].lower())
+    _mark = PREFIXES[_style][0][-1]
+    STYLED += (Styled(f"prefix_{_style}", _ext, "\t" + _mark.lower(), (_mark, ""), ("x ", f" {_mark} y"), (_mark, f"\n {_mark} a\n{_mark} b"), True),)
+for _entry in STYLED:
+    _add_style(_entry)
 
 
-@query("sloc_mixed_ext", f"SELECT doc_id, {sql_sloc('t', 'CASE WHEN doc_id % 2 = 0 THEN NOT starts_with(l, chr(35)) ELSE TRUE END AND regexp_matches(l, ' + chr(39) + INK + chr(39) + ')')} AS sloc FROM (SELECT doc_id, regexp_replace(text, '(?m)^(T.*)$', '# \\1', 'g') AS t FROM documents WHERE NOT regexp_matches(text, '{_CLEAN.replace(chr(39), chr(39) * 2)}'))")
+@query("sloc_mixed_ext", f"SELECT doc_id, {sql_sloc('t', 'CASE WHEN doc_id % 2 = 0 THEN NOT starts_with(l, chr(35)) ELSE TRUE END AND regexp_matches(l, ' + chr(39) + INK + chr(39) + ')')} AS sloc FROM (SELECT doc_id, regexp_replace({_CLEAN_SQL}, '(?m)^(T.*)$', '# \\1', 'g') AS t FROM documents)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A different style for each row: Python's for even documents, none for the others; Python workers get only the former."""
-    docs = _table(spark, d, "documents").where(~F.col("text").rlike(_CLEAN))
-    text = F.regexp_replace("text", "(?m)^(T.*)$", "# $1")
+    text = F.regexp_replace(F.translate("text", _READ, ""), "(?m)^(T.*)$", "# $1")
     ext = F.when(F.col("doc_id") % 2 == 0, "PY").otherwise("txt")
-    return docs.select("doc_id", M.code_count(text, ext).alias("sloc"))
+    return _table(spark, d, "documents").select("doc_id", M.code_count(text, ext).alias("sloc"))
 
 
-@query("sloc_html_pages", f"SELECT page_id, (CASE WHEN strpos(html, '<!--') = 0 OR regexp_matches(regexp_replace(html, '(?s)<!--.*?-->', ''), '{INK}') THEN 1 ELSE 0 END)::BIGINT AS sloc FROM pages WHERE strpos(html, chr(10)) = 0 AND html <> ''")
-def _(spark: SparkSession, d: str) -> DataFrame:
-    """Pages of one line."""
-    pages = _table(spark, d, "pages").where(~F.col("html").contains("\n") & (F.col("html") != ""))
-    return pages.select("page_id", M.code_count(F.col("html"), "html").alias("sloc"))
+#: Line after line: whether a comment is open, and the code lines so far.
+_HTML_FOLD = f"""
+WITH lines AS (SELECT page_id, CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM (SELECT page_id, string_split(html, chr(10)) AS l FROM pages)),
+folded AS (SELECT page_id, list_reduce(list_prepend({{'l': '', 'inside': FALSE, 'n': 0::BIGINT}}, list_transform(l, lambda x: {{'l': x, 'inside': FALSE, 'n': 0::BIGINT}})), lambda a, x: {{
+  'l': '',
+  'inside': CASE WHEN a.inside THEN strpos(x.l, '-->') = 0 ELSE strpos(x.l, '<!--') > 0 AND strpos(substr(x.l, strpos(x.l, '<!--') + 4), '-->') = 0 END,
+  'n': a.n + CASE
+    WHEN a.inside THEN CASE WHEN strpos(x.l, '-->') > 0 AND regexp_matches(substr(x.l, strpos(x.l, '-->') + 3), '{INK}') THEN 1 ELSE 0 END
+    WHEN strpos(x.l, '<!--') = 0 OR regexp_matches(substr(x.l, 1, strpos(x.l, '<!--') - 1), '{INK}') THEN 1
+    WHEN strpos(substr(x.l, strpos(x.l, '<!--') + 4), '-->') > 0 AND regexp_matches(substr(x.l, strpos(x.l, '<!--') + 4 + strpos(substr(x.l, strpos(x.l, '<!--') + 4), '-->') + 2), '{INK}') THEN 1 ELSE 0 END}}) AS f FROM lines)
+SELECT page_id, f.n AS sloc FROM folded"""
 
 
-@query("sloc_html_all_pages")
+@query("sloc_html_all_pages", _HTML_FOLD)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "pages").select("page_id", M.code_count(F.col("html"), "html").alias("sloc"))
 

@@ -10,7 +10,11 @@ from ..schema import FILE_STATS
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a JSON array of file statistics, with `position`, their place in it. Counts that it lacks are null; anything but such an array is an error."""
-    whole = spark.read.text(path, wholetext=True)
+    return parse_snapshot(spark.read.text(path, wholetext=True))
+
+
+def parse_snapshot(whole: DataFrame) -> DataFrame:
+    """read_snapshot of arrays that are texts in the column `value`."""
     rows = F.from_json("value", f"array<{FILE_STATS.simpleString()}>", {"mode": "FAILFAST"})
     return whole.select(F.posexplode(rows).alias("position", "row")).select("position", "row.*")
 

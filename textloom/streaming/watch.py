@@ -15,7 +15,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..errors import EngineError
+from ..errors import ConfigError, EngineError
 from ..operators.reports import PROGRAM, render
 from ..plans.config import Config
 from ..plans.engine import Engine
@@ -44,13 +44,17 @@ def fingerprint(roots: list[str]) -> str:
 
 class _Changes(SimpleDataSourceStreamReader):
     def __init__(self, options: dict[str, str]):
-        self.roots = json.loads(options["roots"])
+        self.roots, self.interval = json.loads(options["roots"]), float(options.get("interval", 0))
 
     def initialOffset(self) -> dict[str, str]:
         return {"print": ""}
 
     def read(self, start: dict[str, str]) -> tuple[Iterator[tuple], dict[str, str]]:
         now = fingerprint(self.roots)
+        if start["print"] and now != start["print"]:
+            # what changes within an interval of the first change belongs to it
+            time.sleep(self.interval)
+            now = fingerprint(self.roots)
         return iter([] if now == start["print"] else [(now,)]), {"print": now}
 
     def readBetweenOffsets(self, start: dict[str, str], end: dict[str, str]) -> Iterator[tuple]:
@@ -72,15 +76,17 @@ class ChangesSource(DataSource):
 
 
 def on_change(spark: SparkSession, roots: list[str], interval: float, run: Callable[[], None], checkpoint: str | None = None) -> StreamingQuery:
-    """Runs `run` once, and again after every change of the trees; changes within an interval count as one."""
+    """Runs `run` once, and again an interval after every change of the trees; changes within that interval count as one. On a cluster the stream's checkpoint needs spark.checkpoint.dir."""
     spark.dataSource.register(ChangesSource)
-    changes = spark.readStream.format(NAME).option("roots", json.dumps(roots)).load()
+    changes = spark.readStream.format(NAME).option("roots", json.dumps(roots)).option("interval", str(interval)).load()
 
     def each(batch: DataFrame, _: int) -> None:
         if batch.take(1):
             run()
 
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if checkpoint is None and not shared and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ConfigError("set spark.checkpoint.dir to a folder that all executors share")
     if checkpoint is None and shared:
         checkpoint = f"{shared.rstrip('/')}/{PROGRAM}/watch-{uuid.uuid4().hex}"
     writer = changes.writeStream.foreachBatch(each).trigger(processingTime=f"{max(1, round(interval * 1000))} milliseconds")

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from textloom.functions.analyzers import Machine, count_code, machine_for, register, split_lines
-from textloom.functions.literals import find_hash_python, find_outside, find_outside_sql, find_outside_swift, find_unquoted, Quoting, inside_quotes
+from textloom.functions.literals import Quoting, find_hash_python, find_outside, find_outside_sql, find_outside_swift, find_unquoted, inside_quotes
 from textloom.functions.styles import LITERALS, STYLES, style_of
 
 CASES = [
@@ -156,3 +156,17 @@ def test_no_text_breaks_a_machine(text, ext):
 def test_many_blocks_on_a_line():
     assert count_code("(* *)" * 5000 + " x", "ml") == 1
     assert count_code("/* */" * 5000 + " x", "sql") == 1
+
+
+ALPHABET = ["\n", "\n", "\n", " ", "  ", "a", "b1", "f", "r", "x = 1", "#", "#!", "//", "/*", "*/", "/", '"', "'", "`", '"""', "<!--", "-->", "--", "--[[", "]]", "{-", "-}", "#=", "=#", "(*", "*)", "/+", "+/", "%", "%{", "%}", "<<", "<<A", "<<-'A'", "<<<A", "A", "A;", "=pod", "=cut", "=begin", "=end", "<#", "#>", "@", "{", "}", "${", "#{", "\\", "R\"(", ")\"", "r#\"", "\u2003", "\x1c", "\r\n"]
+
+
+@pytest.mark.parametrize("ext", sorted({e for e in STYLES if e in {"c", "cpp", "cs", "java", "go", "rs", "kt", "js", "swift", "d", "php", "py", "rb", "pl", "sh", "toml", "ps1", "lua", "html", "sql", "hs", "jl", "ml", "mlx", "s", "f90", "vhd"}}))
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(ALPHABET), max_size=30))
+def test_counting_a_text_is_counting_its_lines(ext, parts):
+    text = "".join(parts)
+    whole, lines = machine_for(ext), machine_for(ext)
+    assert whole.count(text) == sum(map(lines.code, split_lines(text)))
+    # some styles never ask which line is the first
+    assert whole.state() | {"lines": 0} == lines.state() | {"lines": 0}

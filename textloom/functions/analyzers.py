@@ -9,6 +9,7 @@ from __future__ import annotations
 import copy
 import re
 from collections.abc import Callable
+from functools import lru_cache
 from typing import Any
 
 from .literals import OPENERS, WHITE, Quoting, blank, find_hash_python, find_outside, find_outside_sql, find_outside_swift, find_unquoted, literal_end, string_rest
@@ -20,6 +21,12 @@ class Machine:
 
     #: What a fresh machine carries.
     start: dict[str, Any] = {}
+    #: Of what it carries, what doesn't change how a line without marks is taken.
+    loose = ("lines", "value")
+    #: Characters without which a line is plain, unless something is open: code if it isn't blank, or blank too where
+    #: `blanks` says so. None: every line is looked at.
+    signs: str | None = None
+    blanks = False
 
     def __init__(self) -> None:
         self.reset()
@@ -40,11 +47,49 @@ class Machine:
     def code(self, line: str) -> bool:
         return not blank(line)
 
+    def idle(self) -> bool:
+        """Whether nothing is open."""
+        return all(self.__dict__[k] == v for k, v in self.start.items() if k not in self.loose)
+
+    def passed(self, text: str, lines: int) -> None:
+        """Told of lines without marks that weren't looked at one by one."""
+
+    def count(self, text: str) -> int:
+        """Lines of code of a text; runs of lines without marks are counted together."""
+        if self.signs is None:
+            return sum(map(self.code, split_lines(text)))
+        search, at, found = _any_of(self.signs).search, 0, 0
+        while at < len(text):
+            if self.idle():
+                m = search(text, at)
+                stop = text.rfind("\n", at, m.start()) + 1 if m else len(text)
+                if stop > at:
+                    plain = text[at:stop]
+                    lines = plain.count("\n") + (not plain.endswith("\n"))
+                    found += lines if self.blanks else len(_INKED.findall(plain))
+                    self.passed(plain, lines)
+                    at = stop
+                    continue
+            end = text.find("\n", at) + 1 or len(text)
+            found += self.code(text[at:end])
+            at = end
+        return found
+
+
+#: What a line with any character but white space has, once.
+_INKED = re.compile(rf"[^{WHITE}][^\n]*")
+
+
+@lru_cache(maxsize=64)
+def _any_of(marks: str) -> re.Pattern[str]:
+    return re.compile("[" + re.escape(marks) + "]")
+
 
 class CFamily(Machine):
     """// and /* */, which nest where `nesting` says so. Strings count as code and run on over lines until their quote."""
 
     start = {"depth": 0, "quote": ""}
+    signs = '/"\'`'
     _CLOSE, _EITHER = re.compile(r"\*/"), re.compile(r"\*/|/\*")
 
     def __init__(self, kind: str = "plain", nesting: bool = False):
@@ -95,6 +140,7 @@ class NestedBlocks(Machine):
     """Block comments that nest; what follows the last close on the line where the comment opened is looked at again."""
 
     start = {"depth": 0}
+    signs, blanks = '(', True
     opener, closer = "(*", "*)"
 
     def __init__(self) -> None:
@@ -144,6 +190,7 @@ class NestedBlocks(Machine):
 class Haskell(NestedBlocks):
     """-- at the first column, {- -}."""
 
+    signs, blanks = '-{', True
     opener, closer = "{-", "-}"
 
     def early(self, line: str) -> bool | None:
@@ -156,6 +203,7 @@ class Haskell(NestedBlocks):
 class Julia(NestedBlocks):
     """#= =# before #."""
 
+    signs, blanks = '#', True
     opener, closer = "#=", "=#"
 
     def counts(self, before: str) -> bool:
@@ -168,6 +216,7 @@ class Julia(NestedBlocks):
 class Swift(NestedBlocks):
     """// anywhere outside of strings before /* */."""
 
+    signs, blanks = '/', True
     opener, closer = "/*", "*/"
 
     def early(self, line: str) -> bool | None:
@@ -182,6 +231,7 @@ class DLang(NestedBlocks):
     """//, then /+ +/ that nests, then /* */."""
 
     start = {"depth": 0, "in_c": False}
+    signs, blanks = '/', True
     opener, closer = "/+", "+/"
 
     @property
@@ -215,6 +265,7 @@ class Html(Machine):
     """<!-- -->; only the first comment of a line is looked at."""
 
     start = {"inside": False}
+    signs, blanks = '<', True
 
     @property
     def in_comment(self) -> bool:
@@ -237,6 +288,7 @@ class Sql(Machine):
     """-- and /* */ outside of quotes; strings end with their line."""
 
     start = {"inside": False}
+    signs, blanks = '-/', True
 
     @property
     def in_comment(self) -> bool:
@@ -270,6 +322,7 @@ class Gas(Machine):
     """/* */ anywhere, else # or @ at the line's start."""
 
     start = {"inside": False}
+    signs, blanks = '/#@', True
 
     @property
     def in_comment(self) -> bool:
@@ -294,6 +347,7 @@ class Matlab(Machine):
     """% at the line's start; %{ and %} alone on a line."""
 
     start = {"inside": False}
+    signs, blanks = '%', True
 
     @property
     def in_comment(self) -> bool:
@@ -312,6 +366,7 @@ class Lua(Machine):
     """-- at the first column, and --[=[ ]=] of any level there."""
 
     start = {"level": -1}
+    signs, blanks = '-', True
     _OPEN = re.compile(r"--\[(=*)\[")
 
     @property
@@ -338,6 +393,7 @@ class PowerShell(Machine):
     """# and <# #>."""
 
     start = {"inside": False}
+    signs = '#'
 
     @property
     def in_comment(self) -> bool:
@@ -379,10 +435,14 @@ class Shebang(Machine):
         self.lines += 1
         return self.lines == 1 and text.startswith("#!")
 
+    def passed(self, text: str, lines: int) -> None:
+        self.lines += lines
+
 
 class Hash(Shebang):
     """# outside of quotes; a blank line is code."""
 
+    signs, blanks = '#', True
     def code(self, line: str) -> bool:
         text = line.strip(WHITE)
         if self.first(text) or text.startswith("#"):
@@ -415,6 +475,7 @@ class Heredocs(Shebang):
 class Shell(Heredocs):
     """# and here-documents. An unquoted mark at the line's end holds the line end itself, as the pattern takes it."""
 
+    signs = '#<'
     _HERE = re.compile(r"<<(-?)[ \t]*(?:([^ \t\"'>|&;]+)|'([^']+)'|\"([^\"]+)\")")
 
     def code(self, line: str) -> bool:
@@ -438,6 +499,7 @@ class Perl(Heredocs):
     """#, POD from a =word to =cut, here-documents (which shifts look like)."""
 
     start = {"lines": 0, "waiting": [], "in_pod": False}
+    signs = '#<='
     _HERE = re.compile(r"<<\s*(?:(\w+)|'(\w+)'|\"(\w+)\")")
     _POD = ("=pod", "=head", "=over", "=item", "=back", "=encoding", "=for", "=begin")
 
@@ -470,6 +532,7 @@ class Php(Heredocs):
     """//, # and /* */ outside of literals, here-documents."""
 
     start = {"lines": 0, "waiting": [], "inside": False}
+    signs = '/#<'
     _HERE = re.compile(r"<<<(?:(\w+)|'(\w+)'|\"(\w+)\")")
 
     @property
@@ -509,6 +572,7 @@ class Ruby(Heredocs):
     """#, =begin to =end at the first column, here-documents, strings with #{}."""
 
     start = {"lines": 0, "waiting": [], "in_doc": False, "stack": []}
+    signs = '#"\'`<\\='
     _HERE = re.compile(r"<<([-~]?)(?:(\w+)|'(\w+)'|\"(\w+)\")")
     _CODE = re.compile(r"\\[\s\S]?|[#\"'`}]|<<")
     _TEXT = {q: re.compile(rf"\\[\s\S]?|{q}|#") for q in "\"'`"}
@@ -568,6 +632,7 @@ class Python(Shebang):
 
     # an entry is None for an interpolation, else quote, three quotes, f, raw, not code
     start = {"lines": 0, "stack": []}
+    signs = '#"\''
     _CODE = re.compile(r"[#\"'fFrRuUbB]")
     _FIELD = re.compile(r"[#\"'fFrRuUbB}]")
     _TEXT = {(q, f): re.compile(rf"\\|{q}" + (r"|\{" if f else "")) for q in "\"'" for f in (False, True)}
@@ -647,6 +712,7 @@ class JavaScript(Shebang):
 
     # an entry is "{" for an interpolation, "*" for a comment, a quote for a string, "/" or "[" for a regular expression
     start = {"lines": 0, "stack": [], "value": False}
+    signs = '/"\'`#'
     _CODE = re.compile(r"[/\"'`}]")
     _TEXT = {**{q: re.compile(rf"\\|{q}") for q in "\"'"}, "`": re.compile(r"\\|`|\$\{"), "/": re.compile(r"\\|\[|/"), "[": re.compile(r"\\|\]"), "*": re.compile(r"\*/")}
     _OPERATORS = frozenset("+-*%=<>&|!^~?:,;([{")
@@ -656,6 +722,10 @@ class JavaScript(Shebang):
     def in_comment(self) -> bool:
         return bool(self.stack) and self.stack[-1] == "*"
 
+    def passed(self, text: str, lines: int) -> None:
+        super().passed(text, lines)
+        self._track(text)
+
     def _track(self, text: str) -> None:
         for c in reversed(text):
             if c.isalnum() or c in self._VALUES:
@@ -782,5 +852,4 @@ def split_lines(text: str) -> list[str]:
 
 def count_code(text: str, ext: str, mapping: dict[str, str] | None = None) -> int:
     """Lines of code of a whole text."""
-    machine = machine_for(ext, mapping)
-    return sum(map(machine.code, split_lines(text)))
+    return machine_for(ext, mapping).count(text)

@@ -70,6 +70,7 @@ def parser() -> argparse.ArgumentParser:
     x.add_argument("--by", choices=("ext", "name", "is_binary"), help="totals by a column")
     x.add_argument("--filter", help="an SQL condition over the statistics")
     x.add_argument("--top", type=positive, help="the first rows of the order")
+    x.add_argument("--output", metavar="DIR", help="have executors write the report there instead of printing it")
     return p
 
 
@@ -82,7 +83,7 @@ def config_of(a: argparse.Namespace) -> C.Config:
     chosen = C.FilterConfig(allow_ext=a.ext, include_patterns=a.include, exclude_patterns=a.exclude, map_ext=dict(a.map_ext), condition=a.filter, **bounds)
     return C.Config(
         walk=walk, filter=chosen, format=a.format, sort=a.sort, total_row=a.total_row, count_newlines_in_chars=a.count_newlines_in_chars, progress=a.progress, count_words=a.words, count_sloc=a.sloc,
-        strict=a.strict, watch=a.watch, watch_interval=a.watch_interval, watch_output=a.watch_output, compare=tuple(a.compare) if a.compare else None, by=a.by, top=a.top,
+        strict=a.strict, watch=a.watch, watch_interval=a.watch_interval, watch_output=a.watch_output, compare=tuple(a.compare) if a.compare else None, by=a.by, top=a.top, output=a.output,
     ).resolved()
 
 
@@ -99,6 +100,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             result = Engine(spark).run(config, once=True)
             for r in result.errors.toLocalIterator():
                 print(f"Error processing {r.path}: {r.error}", file=sys.stderr)
+            if config.output:
+                reports.write_lines(result.stats, config, config.output)
+                return 0
             for line in reports.render(result.stats, config):
                 print(line)
     except EngineError as bad:

@@ -21,10 +21,10 @@ class Machine:
 
     #: What a fresh machine carries.
     start: dict[str, Any] = {}
-    #: Of what it carries, what doesn't change how a line without marks is taken.
+    #: Of what it carries, what doesn't change how a line without signs is taken.
     loose = ("lines", "value")
-    #: Characters without which a line is plain, unless something is open: code if it isn't blank, or blank too where
-    #: `blanks` says so. None: every line is looked at.
+    #: Characters without which a line is plain, unless something is open: it is code if it isn't blank, or in any case
+    #: where `blanks` says so. None: every line is looked at.
     signs: str | None = None
     blanks = False
 
@@ -49,30 +49,36 @@ class Machine:
 
     def idle(self) -> bool:
         """Whether nothing is open."""
-        return all(self.__dict__[k] == v for k, v in self.start.items() if k not in self.loose)
+        now, start = self.__dict__, self.start
+        for k in start:
+            if now[k] != start[k] and k not in self.loose:
+                return False
+        return True
 
-    def passed(self, text: str, lines: int) -> None:
-        """Told of lines without marks that weren't looked at one by one."""
+    def passed(self, text: str) -> None:
+        """Told of lines without signs that weren't looked at one by one."""
 
     def count(self, text: str) -> int:
-        """Lines of code of a text; runs of lines without marks are counted together."""
+        """Lines of code of a text; runs of lines without signs are counted together."""
         if self.signs is None:
             return sum(map(self.code, split_lines(text)))
-        search, at, found = _any_of(self.signs).search, 0, 0
-        while at < len(text):
-            if self.idle():
-                m = search(text, at)
-                stop = text.rfind("\n", at, m.start()) + 1 if m else len(text)
-                if stop > at:
-                    plain = text[at:stop]
-                    lines = plain.count("\n") + (not plain.endswith("\n"))
-                    found += lines if self.blanks else len(_INKED.findall(plain))
-                    self.passed(plain, lines)
-                    at = stop
-                    continue
-            end = text.find("\n", at) + 1 or len(text)
-            found += self.code(text[at:end])
-            at = end
+        search, find, code, idle = _any_of(self.signs).search, text.find, self.code, self.idle
+        at, found, size = 0, 0, len(text)
+        while at < size:
+            m = search(text, at)
+            stop = text.rfind("\n", at, m.start()) + 1 if m else size
+            if stop > at:
+                plain = text[at:stop]
+                found += plain.count("\n") + (plain[-1] != "\n") if self.blanks else len(_INKED.findall(plain))
+                self.passed(plain)
+                at = stop
+            # the line with the sign, and those after it while something is open
+            while at < size:
+                end = find("\n", at) + 1 or size
+                found += code(text[at:end])
+                at = end
+                if idle():
+                    break
         return found
 
 
@@ -435,8 +441,9 @@ class Shebang(Machine):
         self.lines += 1
         return self.lines == 1 and text.startswith("#!")
 
-    def passed(self, text: str, lines: int) -> None:
-        self.lines += lines
+    def passed(self, text: str) -> None:
+        # only whether a line is the first one matters
+        self.lines += 1
 
 
 class Hash(Shebang):
@@ -722,8 +729,8 @@ class JavaScript(Shebang):
     def in_comment(self) -> bool:
         return bool(self.stack) and self.stack[-1] == "*"
 
-    def passed(self, text: str, lines: int) -> None:
-        super().passed(text, lines)
+    def passed(self, text: str) -> None:
+        super().passed(text)
         self._track(text)
 
     def _track(self, text: str) -> None:

@@ -71,6 +71,7 @@ class Config:
     compare: tuple[str, str] | None = None
     by: str | None = None
     top: int | None = None
+    output: str | None = None
 
     def resolved(self) -> Config:
         """With words and sloc on where a filter or a sort key needs them."""

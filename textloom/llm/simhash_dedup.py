@@ -159,8 +159,9 @@ def candidates(unique: DataFrame, crowd: int | None = None) -> DataFrame:
     a block, and no block has more than about two groups.
     """
     every = unique.select("uid", F.posexplode("sig").alias("pos", "seg"))
-    sizes = written(every.groupBy("pos", "seg").agg(F.count("*").alias("n")).where("n > 1"), "simhash-sizes")
-    met = every.join(small(sizes, 40), ["pos", "seg"]).withColumn("groups", F.ceil(F.col("n") / F.lit(float(crowd or CROWD))).cast("int"))
+    # as many shared buckets as documents, nearly, so they are never broadcast; a skewed one's rows may be split
+    sizes = every.groupBy("pos", "seg").agg(F.count("*").alias("n")).where("n > 1")
+    met = every.join(sizes, ["pos", "seg"]).withColumn("groups", F.ceil(F.col("n") / F.lit(float(crowd or CROWD))).cast("int"))
     group = F.pmod(F.xxhash64("uid"), F.col("groups")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("groups") - 1), lambda k: F.least(group, k).cast("bigint") * F.col("groups") + F.greatest(group, k))
     return met.select("pos", "seg", F.explode(blocks).alias("block"), "uid")

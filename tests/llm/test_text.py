@@ -371,9 +371,7 @@ def test_mixing_of_odd_rows(table, odd_rows):
     df = table(odd_rows)
     out = mixing.mix_sources(df, epochs=50.0)
     assert out.schema == df.schema
-    n = {}
-    for r in out.collect():
-        n[r.doc_id, r.source] = n.get((r.doc_id, r.source), 0) + 1
+    n = {(r.doc_id, r.source): r["count"] for r in out.groupBy("doc_id", "source").count().collect()}
     assert n[2, "b"] % 2 == 0 and n[1, "a"] > 0 and n.get((10, ""), 0) > 0
     assert mixing.mix_sources(table([])).count() == 0
 

@@ -206,6 +206,27 @@ def test_input_that_isnt_stable_is_written(spark):
     assert S.drop_near_duplicates(df).count() == 5
 
 
+def test_rows_of_files_are_numbered_in_place(spark, tmp_path):
+    """Nothing is written for a plain scan, whose rows have the same numbers at each read; any other plan is written."""
+    from textloom.llm import common
+
+    at = str(tmp_path / "od d%")
+    spark.range(50).selectExpr("id", "id % 7 AS number", "'x' AS `file`", "'y' AS `a.b`").repartition(3).write.parquet(at)
+    begun, rows = common.made(), common.numbered(spark.read.parquet(at), "uid")
+    assert common.made() == begun and rows.columns == ["id", "number", "file", "a.b", "uid"]
+    first = {r.id: r.uid for r in rows.collect()}
+    spark.conf.set("spark.sql.files.minPartitionNum", "9")
+    try:
+        assert {r.id: r.uid for r in rows.select("id", "uid").collect()} == first and len(set(first.values())) == 50
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    for other in (spark.read.parquet(at).where("id < 30"), spark.range(5).toDF("id"), spark.read.parquet(at).withColumn("_metadata", F.lit(1)), spark.read.parquet(at).limit(0)):
+        begun = common.made()
+        assert common.numbered(other, "uid").select("uid").distinct().count() == other.count() and common.made() == begun + 1
+    spark.read.parquet(at).where("id < 0").coalesce(1).write.parquet(str(tmp_path / "none"))
+    assert common.numbered(spark.read.parquet(str(tmp_path / "none")), "uid").count() == 0
+
+
 def test_splits_that_change_between_reads(spark, tmp_path, monkeypatch):
     """Each written table is followed by reads with other splits, as when executors come or go."""
     texts = [" ".join(f"w{(i % 30) * 40 + k}" for k in range(40)) for i in range(64)]

@@ -115,9 +115,37 @@ def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+#: Bits of a row's number that count rows within its file.
+ROW_BITS = 38
+
+
 def numbered(df: DataFrame, uid: str) -> DataFrame:
-    """df with a row number as column uid, written, so that every later read has the same numbers: a scan's splits, and with them its row numbers, follow the cores that are there when it is read."""
-    return written(df.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    """df with a row number as column uid that every later read gives again.
+
+    Rows of a plain scan of files are numbered by their file and their place in it, which don't depend on the scan's
+    splits (these follow the cores that are there when it is read); nothing is written. Rows of any other plan are
+    numbered once and written with their numbers.
+    """
+    files = _scanned(df)
+    if files is None:
+        return written(df.withColumn(uid, F.monotonically_increasing_id()), "numbered")
+    names = df.sparkSession.createDataFrame(list(zip(files, range(len(files)), strict=True)), "file string, number bigint")
+    place, at, file, number = fresh(df, "place", "at", "file", "number")
+    rows = df.select("*", F.col("_metadata.file_path").alias(place), F.col("_metadata.row_index").alias(at))
+    known = rows.join(F.broadcast(names.toDF(file, number)), col(place) == col(file))
+    return known.withColumn(uid, F.shiftleft(col(number), ROW_BITS) + col(at)).select(*map(col, df.columns), col(uid))
+
+
+def _scanned(df: DataFrame) -> list[str] | None:
+    """The files of a plain scan of Parquet, in order; None where df is anything else, or its list of files is too large to broadcast."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project" and plan.deterministic():
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation" or not plan.toString().rstrip().endswith(" parquet") or "_metadata" in (c.lower() for c in df.columns):
+        return None
+    # as the scan itself names them; it reads no column for this
+    paths = sorted(row.path for row in df.select(F.col("_metadata.file_path").alias("path")).distinct().collect())
+    return paths if sum(map(len, paths)) + 64 * len(paths) <= BROADCAST_BYTES else None
 
 
 def batched(df: DataFrame) -> DataFrame:

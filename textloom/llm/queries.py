@@ -13,11 +13,11 @@ from . import bpe_codec, chat, exact_dedup, language_id, license_scan, media, mi
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(spread(_table(spark, sf_dir, "documents")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+    return simhash_dedup.near_duplicates(spread(_table(spark, sf_dir, "documents")))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,25 +37,25 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(spread(_table(spark, sf_dir, "documents")))
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe_codec.encode(_table(spark, sf_dir, "documents"))
+    return bpe_codec.encode(spread(_table(spark, sf_dir, "documents")))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
+    return token_counts.count_tokens(spread(_table(spark, sf_dir, "documents")))
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages declare the type that their address's extension stands for, and HTML where it has none."""
     declared = F.coalesce(media.declared_by_address(F.col("url")), F.lit("text/html"))
-    return media.sniff_media(_table(spark, sf_dir, "pages"), "page_id", "html", declared).withColumnRenamed("id", "page_id")
+    return media.sniff_media(spread(_table(spark, sf_dir, "pages")), "page_id", "html", declared).withColumnRenamed("id", "page_id")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(_table(spark, sf_dir, "documents"))
+    return language_id.identify(spread(_table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -177,9 +177,11 @@ def scored(net: Network, data: np.ndarray, off: np.ndarray, starts: np.ndarray,
     return out
 
 
+_PARTS = np.array(["th", "er", "on", "an", "re", "in", "en", "at", "es", "or", "le", "de", "la", "ment", "qui", "ein", "ung", "ció", "que", "str", "ou", "ai", "ch", "ver", "do"])
+
+
 def _word(rng: np.random.Generator) -> str:
-    parts = ("th", "er", "on", "an", "re", "in", "en", "at", "es", "or", "le", "de", "la", "ment", "qui", "ein", "ung", "ció", "que", "str", "ou", "ai", "ch", "ver", "do")
-    return "".join(rng.choice(parts, rng.integers(1, 5)))
+    return "".join(rng.choice(_PARTS, rng.integers(1, 5)))
 
 
 def _prose(rng: np.random.Generator, n: int) -> str:
@@ -187,7 +189,12 @@ def _prose(rng: np.random.Generator, n: int) -> str:
 
 
 def _random(rng: np.random.Generator, alphabet: str, n: int) -> str:
-    return "".join(rng.choice(list(alphabet), n))
+    return "".join(rng.choice(_letters(alphabet), n))
+
+
+@lru_cache(maxsize=8)
+def _letters(alphabet: str) -> np.ndarray:
+    return np.array(list(alphabet))
 
 
 def labelled_findings(n: int = FINDINGS, seed: int = FITTED_SEED) -> tuple[list[str], list[tuple[int, int]], np.ndarray, np.ndarray]:
@@ -282,7 +289,8 @@ def train(seed: int = 5, epochs: int = EPOCHS) -> tuple[Network, dict[str, float
                 place = most[part][:, :, None] + np.arange(KERNEL)[None, None] - KERNEL // 2
                 inside = (place >= 0) & (place < WIDTH)
                 code = np.where(inside, x[row[:, :, None], np.clip(place, 0, WIDTH - 1)], 0)
-                np.add.at(g["table"], code[inside], back[inside])
+                slot = code[inside][:, None] * EMBED + np.arange(EMBED)
+                g["table"] += np.bincount(slot.ravel(), back[inside].ravel(), CODES * EMBED).reshape(CODES, EMBED).astype(np.float32)
             g["table"][0] = 0
             step += 1
             rate = np.float32(0.004 * (1 - epoch / epochs) + 0.0005)

@@ -12,7 +12,7 @@ from textloom.__main__ import config_of, main, parser
 from textloom.errors import ConfigError, EngineError, FileReadError
 from textloom.functions import metrics as M
 from textloom.operators import compare, reports
-from textloom.operators.stats import analyze_table, line_stats, totals
+from textloom.operators.stats import analyze_table, bounded, filter_stats, line_stats, totals
 from textloom.plans import config as C
 from textloom.plans.engine import Engine
 from textloom.schema import FILE_STATS
@@ -200,6 +200,25 @@ def test_run(spark, tree):
     assert {r.name: r.sloc for r in mapped.stats.collect()}["b|,.txt"] == 2
 
 
+def test_bounds_count_once(spark, tree):
+    """Bounds on counts neither decode nor count a text again, whatever there are of them."""
+    def told(filters):
+        stats = Engine(spark).run(C.Config(walk=C.WalkOptions(roots=[str(tree)]), filter=filters, count_words=True)).stats
+        plan = stats._jdf.queryExecution().optimizedPlan().toString()
+        return sorted(r.name for r in stats.collect()), plan.count("makeValid"), plan.count("regexp_extract_all")
+
+    assert told(C.FilterConfig(min_words=1, max_words=5, max_lines=2)) == (["README", "_u.py", "b|,.txt", "keep.log"], 1, 1)
+    assert told(C.FilterConfig(min_words=1, condition="Words * 2 > lines AND words < 6 AND size > 3")) == (["README", "_u.py", "b|,.txt"], 1, 1)
+    assert told(C.FilterConfig(max_words=5, min_lines=0))[0] == told(C.FilterConfig(max_words=5))[0]  # a binary file has no words
+    # what isn't bounded is counted for the rows that stay, and a column of a count's name gives way
+    f = C.FilterConfig(min_words=2, condition="LINES < 3")
+    table = spark.createDataFrame([(1, "a b", "x"), (2, "a\nb\nc", "y"), (3, None, "z")], "id int, text string, words string")
+    kept = filter_stats(analyze_table(table, "text", "py", first=bounded(f)), f)
+    assert bounded(f) == {"words", "lines"} and kept.columns == ["id", "text", "words", "lines", "chars", "sloc"] and [tuple(r) for r in kept.collect()] == [(1, "a b", 2, 1, 3, 1)]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.index("ArrowEvalPython") < plan.index("Filter") < plan.index("Generate")
+
+
 def test_errors(spark, tree, monkeypatch):
     bad = C.Config(walk=C.WalkOptions(roots=["../../.."]))
     result = Engine(spark).run(bad)

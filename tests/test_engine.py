@@ -2,6 +2,7 @@
 
 import json
 import os
+import pickle
 import time
 from datetime import datetime, timezone
 
@@ -101,6 +102,28 @@ def test_pack():
     assert sum(map(len, bins)) == 6 and len(bins) == 3
 
 
+def test_walk_by_folder(tmp_path, monkeypatch):
+    """What holds for a folder is found out once for it, and partitions are small however long the paths are."""
+    from textloom.sources import files as S
+
+    deep = tmp_path.joinpath(*["folder"] * 15)
+    deep.mkdir(parents=True)
+    for i in range(500):
+        (deep / f"{'skip_' * (i % 5 == 0)}d{i}.txt").write_text("x" * i)
+    (deep / "caf\udce9.txt").write_text("é")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".gitignore").write_text("skip_*\n/folder/**/d1.txt\nx{a,**}\n")
+    calls, real = [], os.path.abspath
+    monkeypatch.setattr(os.path, "abspath", lambda p: calls.append(p) or real(p))
+    reader = S._Reader({"config": json.dumps({"walk": {"roots": [str(tmp_path)], "threads": 3}, "filter": {"mtime_since": None, "mtime_until": None}})})
+    parts = reader.partitions()
+    wanted = {str(deep / f"d{i}.txt"): i for i in range(500) if i % 5 and i != 1} | {str(deep / "caf\udce9.txt"): 2}
+    assert len(calls) < 400 and len(parts) == 3
+    assert sum(len(pickle.dumps(p)) for p in parts) < 40 * len(wanted)
+    found = [f for p in parts for f in pickle.loads(pickle.dumps(p)).files]
+    assert {f.path: f.size for f in found} == wanted and len(found) == len(wanted) and all(f.mtime == os.stat(f.path).st_mtime for f in found)
+
+
 def test_path_safety(tmp_path):
     assert is_path_safe("a/b/../c") and not is_path_safe("a/../../secret") and not is_path_safe("..") and not is_path_safe("a\0b")
     inner = tmp_path / "in"

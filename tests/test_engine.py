@@ -330,6 +330,38 @@ def test_any_failure_is_an_error_row(spark, tree, monkeypatch):
     assert next(iter(reader.read(S._Batch([S.Found("/x/y.rs", 3, None)])))).to_pylist()[0]["error"] == "Failed to read file '/x/y.rs': too much"
 
 
+def test_reads_ask_for_what_there_is(tmp_path, monkeypatch):
+    """A read takes room for a file's size, not for the bound; a file that grew or shrank since the walk is read whole."""
+    from textloom.sources import files as S
+
+    asked, real = [], open
+
+    class Watched:
+        def __init__(self, *a):
+            self.file = real(*a)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.file.close()
+
+        def read(self, n):
+            asked.append(n)
+            return self.file.read(n)
+
+    (tmp_path / "x.rs").write_bytes(b"0123456789")
+    reader = S._Reader({"config": json.dumps({"walk": {"roots": []}, "filter": {"mtime_since": None, "mtime_until": None}})})
+    read = lambda size: next(iter(reader.read(S._Batch([S.Found(str(tmp_path / "x.rs"), size, None)])))).to_pylist()[0]
+    monkeypatch.setattr("builtins.open", Watched)
+    assert read(10)["content"] == b"0123456789" and asked == [11]
+    assert [read(n)["content"] for n in (0, 3, 9, 11, 1 << 40)] == [b"0123456789"] * 5
+    monkeypatch.setattr(S, "MOST_BYTES", 9)
+    assert all(read(n)["error"].endswith("over 9 bytes") and read(n)["content"] is None for n in (0, 8, 9, 10, 99))
+    monkeypatch.setattr(S, "MOST_BYTES", 10)
+    assert all(read(n)["content"] == b"0123456789" for n in (0, 9, 10, 11))
+
+
 def test_main(spark, tree, capsys):
     assert main([str(tree), "--format", "csv", "--ext", "rs"], spark) == 0
     assert capsys.readouterr().out.splitlines()[1].startswith("3,20,")

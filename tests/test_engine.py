@@ -346,7 +346,7 @@ def test_reads_ask_for_what_there_is(tmp_path, monkeypatch):
         def __exit__(self, *_):
             self.file.close()
 
-        def read(self, n):
+        def read(self, n=-1):
             asked.append(n)
             return self.file.read(n)
 
